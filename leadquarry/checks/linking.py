@@ -148,18 +148,14 @@ def cascade(spark, sf):
 
 # ---- fuzzy -----------------------------------------------------------------------------
 
-_PAIRS = f"""{S.NORMED}, pairs AS (SELECT DISTINCT x.norm AS a, y.norm AS c FROM
-  (SELECT norm, unnest(string_split(norm, ' ')) AS t FROM p WHERE norm <> '') x JOIN
-  (SELECT norm, unnest(string_split(norm, ' ')) AS t FROM b WHERE norm <> '') y ON x.t = y.t)"""
+_PAIRS = f"""{S.NORMED}, pairs AS (SELECT DISTINCT x.norm AS a, y.norm AS c FROM (SELECT norm, biz_id + unnest([1, 200]) AS other FROM b) x JOIN b y ON y.biz_id = x.other)"""
 
 
 def _pairs(spark, sf):
-    """Names that share a word: input of the pair scorers."""
-    p, b = _sides(spark, sf)
-
-    def words(df, name):
-        return df.where("norm <> ''").select(F.col("norm").alias(name), F.explode(F.split("norm", " ")).alias("t"))
-    return words(p, "a").join(words(b, "c"), "t").select("a", "c").distinct()
+    """Each name beside a neighbour's and beside one that shares words: two pairs per row."""
+    _, b = _sides(spark, sf)
+    left = b.select(F.col("norm").alias("a"), (F.col("biz_id") + F.explode(F.array(F.lit(1), F.lit(200)))).alias("other"))
+    return left.join(b.select(F.col("norm").alias("c"), F.col("biz_id").alias("other")), "other").select("a", "c").distinct()
 
 
 @query("indel_ratio", f"""{_PAIRS} SELECT a, c, round(100.0::DOUBLE - 100.0::DOUBLE * (length(a) + length(c) - 2 * {S.sql_lcs('a', 'c')}) / (length(a) + length(c)), 6) AS score FROM pairs""")
