@@ -108,9 +108,8 @@ def deciles(spark, sf):
     return rounded(decile_hit_rates(_scored(spark, sf), "prob", "is_customer"))
 
 
-@query("exact_quantiles", """SELECT unnest([0.0, 0.05, 0.5, 0.95, 1.0]) AS q, round(unnest(list_transform([0.0, 0.05, 0.5, 0.95, 1.0], lambda q: NULL::DOUBLE)), 6) AS value FROM region WHERE false
-  UNION ALL SELECT 0.05, round(quantile_cont(o_totalprice, 0.05), 6) FROM orders UNION ALL SELECT 0.5, round(quantile_cont(o_totalprice, 0.5), 6) FROM orders
-  UNION ALL SELECT 0.95, round(quantile_cont(o_totalprice, 0.95), 6) FROM orders""")
+@query("exact_quantiles", " UNION ALL ".join(
+    f"SELECT {q}::DOUBLE AS q, round(quantile_cont(o_totalprice, {q}), 6) AS value FROM orders" for q in (0.05, 0.5, 0.95)))
 def quantiles(spark, sf):
     qs = [0.05, 0.5, 0.95]
     vs = R.exact_quantiles(fx.table(spark, sf, "orders"), "o_totalprice", qs)

@@ -30,6 +30,9 @@ def _cell(v):
     return v
 
 
+SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted([tuple(_cell(r[i]) for i in order) for r in data], key=repr)
@@ -44,7 +47,11 @@ def compare(spark_df, con, sql):
     want = rows(sql_cols, cur.fetchall())
     if sorted(cols) != sorted(sql_cols):
         return False, f"columns {sorted(cols)} != {sorted(sql_cols)}"
+    have = {c: t for c, t in spark_df.dtypes}
+    diff = {d[0]: (have[d[0]], str(d[1])) for d in cur.description if SQL_TYPES.get(str(d[1])) != have[d[0]]}
     if got != want:
         a, b = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
         return False, f"rows {len(got)} vs {len(want)}; spark only {a}; sql only {b}"
+    if diff:
+        return False, f"types {diff}"
     return True, f"{len(got)} rows"
