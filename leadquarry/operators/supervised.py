@@ -80,9 +80,9 @@ def column_screen(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         present = F.col(c).isNotNull().cast("double")
         r = F.lit(None).cast("double")
-        if known is not None:
-            flat = (F.min(present) == F.max(present)) | (F.min(known) == F.max(known))
-            r = F.when(~flat, F.abs(F.corr(present, known)))
+        if known is not None:                              # Pearson r of two 0/1 columns from counts
+            n, p, k = F.count(F.lit(1)), F.sum(present), F.sum(known)
+            r = F.abs(F.try_divide(n * F.sum(present * known) - p * k, F.sqrt((n * p - p * p) * (n * k - k * k))))
         items.append(F.struct(
             F.lit(c).alias("column"),
             F.coalesce(F.min(F.col(c).cast("string")) == F.max(F.col(c).cast("string")), F.lit(True)).alias("is_constant"),
@@ -120,15 +120,12 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], limit: int = 30, infreq
     """Most-frequent fill, then values outside the top ``limit - 1`` become one bucket.
 
     A column with at most ``limit`` values keeps them all."""
-    top = frequent_categories(df, columns, limit + 1)
+    top = frequent_categories(df, columns, limit + 2)      # enough to see whether there are more
     out = {}
     for c in columns:
-        values = top[c] if len(top[c]) < limit else top[c][: limit - 1]
-        mode = top[c][0] if top[c] else None
-        if len(top[c]) <= limit - 1 or df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).count() <= limit:
-            values = top[c]
-        v = F.coalesce(F.col(c).cast("string"), F.lit(mode))
-        out[c] = F.when(v.isin(values), v).otherwise(infrequent)
+        values = top[c] if len(top[c]) <= limit else top[c][: limit - 1]
+        filled = F.coalesce(F.col(c).cast("string"), F.lit(top[c][0] if top[c] else infrequent))
+        out[c] = F.when(filled.isin(values), filled).otherwise(infrequent)
     return df.withColumns(out)
 
 

@@ -109,7 +109,7 @@ def write_table(df: DataFrame, path: str, sort: Sequence = (), single_file: bool
         df = df.coalesce(1)
     writer = df.write.mode("overwrite")
     if _format(path) == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.parquet(path)
 
