@@ -21,7 +21,7 @@ from leadquarry.session import cut, local_session  # noqa: E402
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, memory="16g", app="bench")
+    spark = local_session(cpus, memory="20g", app="bench")
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 

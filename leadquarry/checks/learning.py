@@ -207,7 +207,7 @@ def prior_robust(spark, sf):
 def prior_table(spark, sf):
     f, prepared, train = setup(spark, sf)
     spy, held = PR.spy_prior(prepared, train), PR.holdout_prior(prepared, train)
-    tree = PR.tree_prior(f, COLUMNS, prepared, train)
+    tree = PR.tree_prior(LE.assemble(f, COLUMNS), cut(pu.naive_scores(prepared, train)), train)
     return PR.comparison_table(spark, spy, held, tree, PR.robust_prior(held, tree))
 
 

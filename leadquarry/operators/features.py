@@ -95,20 +95,23 @@ def build_features(labeled: DataFrame, version: str = "v2", id_col: str = "biz_i
     Customer proximity uses every known customer, held-out ones included; pass ``exclude``
     (ids) to leave those out of the proximity features.
     """
-    df = cut(scalar_features(labeled))
-    df = group_size(df, "governorate", "gov_size")
+    base = cut(scalar_features(labeled))
+    df = group_size(base, "governorate", "gov_size")
     df = group_size(df, "category", "category_size")
     df = group_size(df, "search_category", "search_category_size")
-    df = competitor_density(df)
+    df = competitor_density(df, source=base)
     if version == "v1":
         return df.select(id_col, *FEATURES_V1, "is_customer")
     if exclude is not None:
         marked = exclude.select(id_col, F.lit(1).alias("__out"))
-        df = df.join(marked, id_col, "left").withColumn(
-            "__known", F.when(F.col("__out").isNull(), F.col("is_customer")).otherwise(0))
-        df = customer_proximity(df, label="__known").drop("__out", "__known")
+
+
+        def known(t: DataFrame) -> DataFrame:
+            return t.join(marked, id_col, "left").withColumn(
+                "__known", F.when(F.col("__out").isNull(), F.col("is_customer")).otherwise(0))
+        df = customer_proximity(known(df), label="__known", source=known(base)).drop("__out", "__known")
     else:
-        df = customer_proximity(df)
+        df = customer_proximity(df, source=base)
     df = cut(df)
     median = exact_quantiles(df, "customer_nearest_km", [0.5])[0]
     df = df.withColumn("customer_nearest_km", F.coalesce("customer_nearest_km", F.lit(median).cast("double")))

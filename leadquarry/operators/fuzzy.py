@@ -13,7 +13,8 @@ from leadquarry.session import cut
 
 TOP2_SCHEMA = "norm string, score double, biz_id long, match_norm string"
 SCAN_ROWS_PER_TASK = 50_000
-QUERY_CHUNK = 1024   # names held by each task at once: bounds the broadcast
+QUERY_CHUNK = 8192   # query names held by each task at once: bounds the broadcast
+BLOCK_CELLS = 2_000_000   # query x name cells bounded at a time inside a task
 
 
 def distinct_names(businesses: DataFrame, norm: str = "norm") -> DataFrame:
@@ -70,10 +71,12 @@ def contained_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
     inner_q = keyed(q_exploded, q_words).withColumnRenamed("words", "q_words")
     backward = (
         words.withColumnRenamed("norm", "match_norm").withColumn("word", F.explode("words"))
-        .join(inner_q, "word").where(F.size(F.array_except("q_words", "words")) == 0)
+        .join(inner_q, "word")
+        # equal sets were found above; leaving them out keeps pairs unique without a distinct
+        .where((F.size("words") > F.size("q_words")) & (F.size(F.array_except("q_words", "words")) == 0))
     )
     cols = ["norm", "match_norm", "id1", "id2"]
-    return forward.select(*cols).unionByName(backward.select(*cols)).distinct()
+    return forward.select(*cols).unionByName(backward.select(*cols))
 
 
 def _best_two(rows: DataFrame) -> DataFrame:
@@ -97,9 +100,10 @@ def _scan(names: DataFrame, queries: list[str], as_set: bool, floor: float) -> D
         probe, vocab, texts = shared.value
         best = Top2(len(texts))
         best.score[:] = floor
+        rows = max(64, BLOCK_CELLS // len(texts))
         for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                score_block(probe, vocab, best, pdf.iloc[lo:lo + 2048].reset_index(drop=True), as_set)
+            for lo in range(0, len(pdf), rows):
+                score_block(probe, vocab, best, pdf.iloc[lo:lo + rows].reset_index(drop=True), as_set)
         q, slot = np.nonzero(best.id != Top2.NO_ID)
         yield pd.DataFrame({
             "norm": np.array(texts, dtype=object)[q], "score": best.score[q, slot],

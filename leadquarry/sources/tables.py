@@ -21,13 +21,16 @@ def _format(path: str) -> str:
     return "csv" if path.rstrip("/").endswith((".csv", ".csv.gz")) else "parquet"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
+               multi_line: bool = True) -> DataFrame:
     """Parquet keeps its types; CSV is read with a header and quoted line breaks.
 
-    Without a schema every CSV column is a string: nothing is inferred by an extra pass."""
+    Without a schema every CSV column is a string: nothing is inferred by an extra pass.
+    Quoted line breaks keep a file in one task; pass ``multi_line=False`` for large files
+    without them so that they split."""
     if _format(path) == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is None:
         return reader.csv(path)
     # read by header name, then cast: files may order or omit columns
