@@ -55,17 +55,18 @@ def with_row_id(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def read_below_titles(spark: SparkSession, path: str, name: str, max_titles: int = 3) -> DataFrame:
-    """Delimited text whose header may sit under up to three title lines.
+    """One delimited file whose header may sit under up to three title lines.
 
-    The first lines of each file are matched against the wanted column; the file is then read
-    as strings with the right number of lines skipped.
+    Its first lines are matched against the wanted column; the file is then read as strings
+    with the right number of lines skipped.
     """
     lines = spark.read.text(path).limit(max_titles + 1).collect()          # four lines
     for skip, row in enumerate(lines):
         header = spark.createDataFrame([(row.value,)], "value string")
         names = [c.strip() for c in _split_line(header)]
         if name in names:
-            return _read_skipping(spark, path, names, skip)
+            blank = sum(not r.value.strip() for r in lines[:skip])         # the CSV reader drops blank lines
+            return _read_skipping(spark, path, names, skip - blank)
     raise ValueError(f"column '{name}' not found in the first {max_titles + 1} lines of {path}; "
                      f"first lines: {[r.value for r in lines]}")
 
