@@ -49,7 +49,7 @@ def _rx(e: str, p: str, opt: str = "i") -> str:
 
 
 def _words(e: str) -> str:
-    return f"len(list_filter(string_split(regexp_replace(coalesce({e}, ''), '{S.BL}+', ' ', 'g'), ' '), lambda t: t <> ''))"
+    return f"len(list_filter(string_split(regexp_replace(coalesce({e}, ''), '{S.BL}+', ' ', 'g'), ' '), lambda t: t <> ''))::INTEGER"
 
 
 _TEXT = "concat(coalesce(name, ''), ' ', coalesce(category, ''), ' ', coalesce(search_category, ''))"
@@ -62,12 +62,12 @@ _SCALARS = {
     "digital_presence_count": " + ".join(f"({_flag(f'''coalesce({c}, '') <> '' ''')})" for c in ("phone", "website", "email")),
     "phone_is_tn": _rx("coalesce(phone, '')", r"\+?216", "c"), "website_is_tn": _rx("coalesce(website, '')", r"\.tn(/|$)", "c"),
     "website_is_social": _rx("coalesce(website, '')", r"facebook\.com|instagram\.com|linkedin\.com"),
-    "email_count": "len(list_filter(string_split(coalesce(email, ''), ';'), lambda e: trim(e) <> ''))",
+    "email_count": "len(list_filter(string_split(coalesce(email, ''), ';'), lambda e: trim(e) <> ''))::INTEGER",
     "is_legal_entity": _rx("coalesce(name, '')", "|".join(X.LEGAL_ENTITY_PATTERNS)),
     "name_has_arabic": _rx("coalesce(name, '')", r"[\x{0600}-\x{06ff}]", "c"),
     "name_has_digits": _rx("coalesce(name, '')", r"\p{Nd}", "c"),
     "name_is_upper": _flag("length(coalesce(name, '')) > 3 AND upper(name) = name AND regexp_matches(name, '\\p{L}')"),
-    "name_length": "length(coalesce(name, ''))", "address_length": "length(coalesce(address, ''))",
+    "name_length": "length(coalesce(name, ''))::INTEGER", "address_length": "length(coalesce(address, ''))::INTEGER",
     "name_word_count": _words("name"), "address_word_count": _words("address"),
     **{f"vert_{k}": _rx(_TEXT, p) for k, p in X.VERTICAL_PATTERNS.items()},
     **{f"addr_{k}": _rx("coalesce(address, '')", p) for k, p in X.ADDRESS_PATTERNS.items()},
@@ -126,7 +126,7 @@ _scalar_query("address_flags", FT.ADDRESS_FLAGS)
 _scalar_query("confidence_weights", ["positive_weight"])
 
 
-@query("document_text_shape", f"""SELECT doc_id, length(text) AS text_length, {_words('text')} AS words, {_rx('text', X.VERTICAL_PATTERNS['hotel'])} AS hotel,
+@query("document_text_shape", f"""SELECT doc_id, length(text)::INTEGER AS text_length, {_words('text')} AS words, {_rx('text', X.VERTICAL_PATTERNS['hotel'])} AS hotel,
   {_rx('text', X.VERTICAL_PATTERNS['services'])} AS services, {_rx('text', '[0-9]', 'c')} AS has_digits FROM documents""")
 def document_shape(spark, sf):
     d = fx.table(spark, sf, "documents")

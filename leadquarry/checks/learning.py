@@ -49,11 +49,11 @@ train AS MATERIALIZED (SELECT l.biz_id, is_customer, CASE WHEN match_confidence
 
 def fit_sql(name: str, labels: str) -> str:
     """CTEs that fit the scorecard on ``labels(biz_id, y, w)`` and score every row as ``name``."""
-    return f"""{name}_l AS ({labels}), {name}_t AS (SELECT sum(w) FILTER (WHERE y = 1) AS p, sum(w) FILTER (WHERE y = 0) AS n FROM {name}_l),
+    return f"""{name}_l AS ({labels}), {name}_t AS (SELECT coalesce(sum(w) FILTER (WHERE y = 1), 0) AS p, coalesce(sum(w) FILTER (WHERE y = 0), 0) AS n FROM {name}_l),
 {name}_c AS (SELECT f, bin, coalesce(sum(w) FILTER (WHERE y = 1), 0) AS p, coalesce(sum(w) FILTER (WHERE y = 0), 0) AS n FROM bins JOIN {name}_l USING (biz_id) GROUP BY f, bin),
 {name}_w AS (SELECT s.f, s.bin, ln((coalesce(c.p, 0) + 1) / (t.p + s.size)) - ln((coalesce(c.n, 0) + 1) / (t.n + s.size)) AS wt
   FROM slots s CROSS JOIN {name}_t t LEFT JOIN {name}_c c ON c.f = s.f AND c.bin = s.bin),
-{name} AS MATERIALIZED (SELECT biz_id, 1 / (1 + exp(-(sum(wt) + max(ln(t.p / t.n))))) AS score FROM bins JOIN {name}_w w ON w.f = bins.f AND w.bin = bins.bin CROSS JOIN {name}_t t GROUP BY biz_id)"""
+{name} AS MATERIALIZED (SELECT biz_id, 1 / (1 + exp(-(sum(wt) + max(ln(greatest(t.p, 1e-12) / greatest(t.n, 1e-12)))))) AS score FROM bins JOIN {name}_w w ON w.f = bins.f AND w.bin = bins.bin CROSS JOIN {name}_t t GROUP BY biz_id)"""
 
 
 def bag_sql(name: str, seed: int, neg_weight: float, rounds: int = 50) -> str:

@@ -154,7 +154,8 @@ _PAIRS = f"""{S.NORMED}, pairs AS (SELECT DISTINCT x.norm AS a, y.norm AS c FROM
 def _pairs(spark, sf):
     """Each name beside a neighbour's and beside one that shares words: two pairs per row."""
     _, b = _sides(spark, sf)
-    left = b.select(F.col("norm").alias("a"), (F.col("biz_id") + F.explode(F.array(F.lit(1), F.lit(200)))).alias("other"))
+    left = b.select("biz_id", F.col("norm").alias("a"), F.explode(F.array(F.lit(1), F.lit(200))).alias("step"))
+    left = left.withColumn("other", F.col("biz_id") + F.col("step"))
     return left.join(b.select(F.col("norm").alias("c"), F.col("biz_id").alias("other")), "other").select("a", "c").distinct()
 
 
