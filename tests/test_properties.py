@@ -77,11 +77,11 @@ def haversine(p, q):
     return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
 
 
-@pytest.mark.parametrize("leaf", [65536, 16])
+@pytest.mark.parametrize("leaf", [512, 16])
 def test_distance_joins_equal_brute_force(spark, monkeypatch, leaf):
     """Dense cluster, repeated coordinates, poles, antimeridian and far singles."""
     monkeypatch.setattr(spatial, "LEAF_PAIRS", leaf)
-    monkeypatch.setattr(spatial, "LEAF_SIDE", min(leaf, 32))
+    monkeypatch.setattr(spatial, "LEAF_SIDE", 64 if leaf == 512 else 4)
     if leaf == 16:
         monkeypatch.setattr(spatial, "START_PAIRS", 50)
     rng = random.Random(3)
