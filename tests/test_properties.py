@@ -83,6 +83,8 @@ def test_distance_joins_equal_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr(spatial, "LEAF_PAIRS", leaf)
     monkeypatch.setattr(spatial, "LEAF_SIDE", 64 if leaf == 512 else 4)
     if leaf == 16:
+        monkeypatch.setattr(spatial, "PARENTS_PER_TASK", 20)
+        monkeypatch.setattr(spatial, "PAIRS_PER_TASK", 2000)
         monkeypatch.setattr(spatial, "START_PAIRS", 50)
     rng = random.Random(3)
     pts = []
