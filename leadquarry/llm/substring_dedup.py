@@ -3,11 +3,14 @@
 Positions modulo ``PERIOD`` that lie in the difference cover are anchors: for any two positions
 some shift below the period brings both onto the cover.  A match of ``window`` words therefore
 contains, at equal depth on both sides, an anchor of ``window - PERIOD + 1`` words.  Only anchors
-are hashed (three in seven positions) and grouped; an anchor of two documents is live.  A live
-anchor extends to the windows around it: those are hashed with 128 bits, grouped, and a window
-that starts in a smaller doc_id too marks its words.  Groups are reduced to their smallest and
-largest document before the shuffle, so a passage of a third of all documents costs one row per
-task, and no pairs are formed.
+(three positions in seven) are grouped; an anchor of two documents is live.  A live anchor extends
+to the windows around it: those are grouped in turn, and a window that starts in a smaller doc_id
+too marks its words.  Groups are reduced to their smallest and largest document before the shuffle,
+so a passage of a third of all documents costs one row per task, and no pairs are formed.
+
+Sequences of words are told apart by 64-bit hashes: of each word by XXH3, of a sequence by a mixed
+sum of its word hashes times random odd constants, one per place.  Among 10^12 different windows
+the chance of taking one for another is 5e-8 for each.
 
 Defined results: null and empty texts have no words and keep the empty text; texts shorter than a
 window lose nothing; rows with a null doc_id keep all their words and remove nothing elsewhere;
@@ -17,6 +20,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,36 +33,69 @@ from leadquarry.session import discard, spool
 
 PERIOD = 7
 COVER = (0, 1, 3)  # every difference modulo 7 is a difference of two of these
-
-
-def _bounds(text: str | None) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray]:
-    words = (text or "").encode().split()  # bytes split at ASCII white space alone
-    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1)) if words else ends
-    return words, b" ".join(words), starts, ends
-
-
-def _anchors(line: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor positions and their hashes; none for texts shorter than a window."""
-    n, size = len(starts), window - PERIOD + 1
-    if n < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.arange(n - size + 1)
-    at = at[np.isin(at % PERIOD, COVER)]
-    digest = xxhash.xxh3_64_intdigest
-    made = np.fromiter((digest(line[s:e]) for s, e in zip(starts[at].tolist(), ends[at + size - 1].tolist())), np.uint64, len(at))
-    return at, made.view(np.int64)
-
-
-def _windows(text: str | None, live: np.ndarray, window: int) -> tuple[np.ndarray, list[bytes]]:
-    """Start positions of the windows around live anchors, and their 128-bit hashes."""
-    _, line, starts, ends = _bounds(text)
-    at, made = _anchors(line, starts, ends, window)
-    at = at[np.isin(made, live)]
-    first = np.unique((at[:, None] - np.arange(PERIOD)).ravel())
-    first = first[(first >= 0) & (first <= len(starts) - window)]
-    digest = xxhash.xxh3_128_digest
-    return first, [digest(line[s:e]) for s, e in zip(starts[first].tolist(), ends[first + window - 1].tolist())]
+PLACES = np.array([random.Random(i).getrandbits(64) | 1 for i in range(256)], np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit over the word."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Batch:
+    """The texts of an Arrow column as one run of words."""
+
+    def __init__(self, texts: pa.Array, window: int):
+        self.words = [(t.as_py() or "").encode().split() for t in texts]  # bytes split at ASCII white space alone
+        self.sizes = np.array([len(ws) for ws in self.words], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.window, self.n = window, int(self.sizes.sum())
+        digest = xxhash.xxh3_64_intdigest
+        self.hashes = np.fromiter((digest(w) for ws in self.words for w in ws), np.uint64, self.n)
+        self.row = np.repeat(np.arange(len(self.words)), self.sizes)
+        self.place = np.arange(self.n) - self.first[self.row]
+        self.after = self.sizes[self.row] - self.place  # words from here to the end of the text
+
+    def sequences(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the sequences of ``length`` words that start at the positions."""
+        total = np.zeros(len(at), np.uint64)
+        for j in range(length):
+            total += self.hashes[at + j] * PLACES[j]
+        return _mix(total + PLACES[255:] * np.uint64(length))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the anchors of texts as long as a window."""
+        size = self.window - PERIOD + 1
+        on_cover = np.isin(np.arange(PERIOD), COVER)[self.place % PERIOD]
+        at = np.flatnonzero(on_cover & (self.after >= size) & (self.sizes[self.row] >= self.window))
+        return at, self.sequences(at, size)
+
+    def windows(self, live: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows around the anchors that are live for their text."""
+        at, made = self.anchors()
+        at = at[_within(self.row[at], made, live)]
+        near = np.zeros(self.n + PERIOD, bool)
+        for j in range(PERIOD):  # windows that begin up to a period earlier in the same text
+            start = at - j
+            near[start[self.place[at] >= j]] = True
+        start = np.flatnonzero(near[:self.n] & (self.after >= self.window))
+        return start, self.sequences(start, self.window)
+
+
+def _within(rows: np.ndarray, hashes: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each hash is in its row's list."""
+    lists = lists if lists.null_count == 0 else lists.fill_null([])
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    salt = lambda r: _mix((r.astype(np.uint64) + np.uint64(1)) * PLACES[254])
+    return np.isin(hashes ^ salt(rows), flat ^ salt(owner))
+
+
+def _pairs(ids: pa.Array, rows: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """(h, doc_id), each once per batch."""
+    both = np.unique(np.stack([ids.to_numpy()[rows], hashes.view(np.int64)], 1), axis=0) if len(rows) else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 1].copy()), pa.array(both[:, 0].copy())], ["h", "doc_id"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -68,61 +105,52 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words no smaller document has in a window of that length."""
-    if window < PERIOD:
-        raise ValueError(f"window must be {PERIOD} words at least")
+    if not PERIOD <= window < 254:
+        raise ValueError(f"window must be {PERIOD} to 253 words")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                made = np.unique(_anchors(*_bounds(t.as_py())[1:], window)[1])
-                ids.append(np.full(len(made), i, np.int64))
-                hashes.append(made)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))], ["h", "doc_id"])
+            b = Batch(batch.column(1), window)
+            at, made = b.anchors()
+            yield _pairs(batch.column(0), b.row[at], made)
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = [], []
-            for i, t, live in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                made = set(_windows(t.as_py(), live.values.to_numpy(), window)[1])
-                ids += [i] * len(made)
-                hashes += made
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64())], ["h", "doc_id"])
+            b = Batch(batch.column(1), window)
+            at, made = b.windows(batch.column(2))
+            yield _pairs(batch.column(0), b.row[at], made)
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, kept = [], [], []
-            for t, live, repeated in zip(batch.column(1), batch.column(2), batch.column(3)):
-                words = _bounds(t.as_py())[0]
-                drop = np.zeros(len(words) + 1, np.int64)
-                if repeated.is_valid:
-                    gone = set(repeated.as_py())
-                    first, hashes = _windows(t.as_py(), live.values.to_numpy(), window)
-                    for p, h in zip(first.tolist(), hashes):
-                        if h in gone:
-                            drop[p] += 1
-                            drop[p + window] -= 1
-                keep = np.cumsum(drop)[:-1] == 0
-                counts.append(len(words))
-                removed.append(int((~keep).sum()))
-                kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode() if removed[-1] else b" ".join(words).decode())
+            b = Batch(batch.column(1), window)
+            at, made = b.windows(batch.column(2))
+            at = at[_within(b.row[at], made, batch.column(3))]
+            covered = np.zeros(b.n + window, np.int64)
+            np.add.at(covered, at, 1)
+            np.add.at(covered, at + window, -1)
+            keep = np.cumsum(covered)[:b.n] == 0
+            removed = np.bincount(b.row[~keep], minlength=len(b.sizes))
+            kept = []
+            for ws, start, gone in zip(b.words, b.first.tolist(), removed.tolist()):
+                if gone:
+                    ws = [w for w, k in zip(ws, keep[start:start + len(ws)].tolist()) if k]
+                kept.append(b" ".join(ws).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column(0), pa.array(b.sizes), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"])
 
     named = source.where("doc_id IS NOT NULL")
     anchors = named.mapInArrow(anchor_rows, "h long, doc_id long")
     live = spool(_shared(anchors).select("h"))
     of_doc = spool(anchors.join(live, "h").groupBy("doc_id").agg(F.collect_set("h").alias("live")))
-    windows = named.join(of_doc, "doc_id").select("doc_id", "text", "live").mapInArrow(window_rows, "h binary, doc_id long")
-    windows = spool(windows)
-    repeated = windows.join(spool(_shared(windows)), "h").where("low < doc_id")
-    repeated = spool(repeated.groupBy("doc_id").agg(F.collect_set("h").alias("repeated")))
+    discard(live)
+    windows = spool(named.join(of_doc, "doc_id").select("doc_id", "text", "live").mapInArrow(window_rows, "h long, doc_id long"))
+    shared = spool(_shared(windows))
+    repeated = spool(windows.join(shared, "h").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("repeated")))
+    discard(windows, shared)
     marked = of_doc.join(repeated, "doc_id")
     out = spool(source.join(marked, "doc_id", "left").select("doc_id", "text", "live", "repeated").mapInArrow(
         kept_rows, "doc_id long, n_words long, n_removed long, kept string"))
-    discard(live, windows)
+    discard(of_doc, repeated)
     return out
-
-
