@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadquarry.llm import mixing, near_dedup, sharding, substring_dedup, topk, toxicity
+from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, sharding, substring_dedup, topk, toxicity
 from leadquarry.llm.common import table
 from leadquarry.llm.labelled import fold
 
@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None):
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_benchmark_decontamination")
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_substring_dedup", rf"""
 WITH w AS (SELECT doc_id, {SQL_WORDS} AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w),
@@ -103,3 +108,9 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     return toxicity.score(docs, lexicon).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_language_model")
+def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
