@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, sharding, substring_dedup, topk, toxicity
+from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, quality, sharding, substring_dedup, topk, toxicity
 from leadquarry.llm.common import table
 from leadquarry.llm.labelled import fold
 
@@ -90,6 +90,14 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+@query("op4_quality_attention")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
+
+
 @query("op5_top_k_search", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64e0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
