@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, quality, sharding, substring_dedup, topk, toxicity
+from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, pii, quality, sharding, substring_dedup, topk, toxicity
 from leadquarry.llm.common import table
 from leadquarry.llm.labelled import fold
 
@@ -110,6 +110,14 @@ def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op7_personal_data")
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[of(k) for k in pii.KIND_NAMES], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 @query("op8_toxicity")
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
