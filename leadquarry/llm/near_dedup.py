@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -228,19 +229,44 @@ def class_links(classes: DataFrame, how: SimHash, bucket: int = BUCKET) -> DataF
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id: the smallest doc_id that links lead to."""
-    hexed = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in how.columns])
-    prints = spool(fingerprints(docs, how, doc_id, text).withColumn("fingerprint", hexed))
+def _hexed(how: SimHash, side: str = "f"):
+    return F.concat(*[F.lower(F.lpad(F.hex(f"{side}{i}"), 16, "0")) for i in range(how.words)])
+
+
+def _roots(prints: DataFrame, how: SimHash) -> DataFrame:
+    """(fingerprint, smallest, root): each class, its smallest doc_id and the class its links lead to."""
     classes = spool(prints.groupBy("fingerprint", *how.columns).agg(F.min("doc_id").alias("smallest")))
     links = class_links(spread(classes), how)
-    ends = [F.concat(*[F.lower(F.lpad(F.hex(f"{side}{i}"), 16, "0")) for i in range(how.words)]).alias(side) for side in "ab"]
-    roots = components(links.select(*ends))
-    rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root"))
-    rooted = spool(rooted)
+    roots = components(links.select(_hexed(how, "a").alias("a"), _hexed(how, "b").alias("b")))
+    return spool(classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id: the smallest doc_id that links lead to."""
+    prints = spool(fingerprints(docs, how, doc_id, text).withColumn("fingerprint", _hexed(how)))
+    rooted = _roots(prints, how)
     component = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     # Classes are as many as documents at most; a class with very many copies is one row on this side.
     named = spool(rooted.join(component, "root").select("fingerprint", "component_id"))
     out = prints.select("doc_id", "fingerprint").join(named, "fingerprint")
     return out.select("doc_id", "fingerprint", "component_id")
+
+
+def deduplicate(docs: DataFrame, how: SimHash = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one per component: that with the smallest id, null ids last."""
+
+    @F.pandas_udf("array<long>")
+    def prints_of(texts: pd.Series) -> pd.Series:
+        words = [np.array([fingerprint(shingle_hashes(t, how.shingle, how.seed + i)) for i in range(how.words)], np.uint64) for t in texts]
+        return pd.Series([w.view(np.int64) for w in words])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[doc_id].cast("long").alias("doc_id"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"), prints_of(docs[text]).alias("fs"))
+    rows = spool(rows.select("row_id", "doc_id", "row", *[F.col("fs")[i].alias(c) for i, c in enumerate(how.columns)]))
+    prints = rows.select("row_id", "doc_id", *how.columns, _hexed(how).alias("fingerprint"))
+    rooted = _roots(prints, how)
+    first = prints.select("row_id", "doc_id", "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("first"))
+    kept = spool(first.select("first.row_id"))
+    return rows.join(kept, "row_id", "left_semi").select("row.*")

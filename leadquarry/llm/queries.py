@@ -122,7 +122,7 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, lexicon).select(
+    return toxicity.with_score(docs.select("doc_id", "text"), lexicon).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

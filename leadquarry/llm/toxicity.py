@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,33 +190,32 @@ def learn(docs: DataFrame, labels: DataFrame, trained: Column, label: str = "tox
     found = spoken.where(F.col("high") < 0).orderBy(F.desc("clean"), "unit").limit(ENTRIES).select("unit").collect()
     draft.exceptions |= {r.unit for r in found}
 
-    facts = rows.select("y", "text").mapInArrow(_evidence_rows(draft, 1, ["y"]), "y int, a double, b double, c double, d double").toPandas()
     # One row of four numbers per training row: bounded by TRAINING_ROWS.
+    facts = rows.select("y", _evidence_of(draft)("text").alias("e")).select("y", "e.*").toPandas()
     draft.curve = _fit_curve(facts[["a", "b", "c", "d"]].to_numpy(), facts.y.to_numpy(float))
     discard(rows, counted)
     return draft
 
 
-def _evidence_rows(lexicon: Lexicon, text_at: int, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _evidence_of(lexicon: Lexicon):
+    @F.pandas_udf("a double, b double, c double, d double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for texts in batches:
             made = []
-            for t in batch.column(text_at):
-                words = folded(t.as_py())
+            for t in texts:
+                words = folded(t)
                 made.append(evidence([w for _, w in matches(automaton, words)], len(words)))
-            x = np.array(made, float).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(c.copy()) for c in x.T],
-                                             [*names, "a", "b", "c", "d"])
+            yield pd.DataFrame(np.array(made, float).reshape(-1, 4), columns=["a", "b", "c", "d"])
+
     return run
 
 
-def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score): one row per row of the input."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = rows.mapInArrow(_evidence_rows(lexicon, 1, ["doc_id"]), "doc_id long, a double, b double, c double, d double")
+def with_score(docs: DataFrame, lexicon: Lexicon, name: str = "score", text: str = "text") -> DataFrame:
+    """Every row of ``docs`` with its score (0 to 1) in a further column."""
     *slopes, constant = [float(b) for b in lexicon.curve]
+    e = "_evidence"
     z = F.lit(constant)
-    for name, b in zip("abcd", slopes):
-        z = z + F.col(name) * b
-    return facts.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    for fact, b in zip("abcd", slopes):
+        z = z + F.col(f"{e}.{fact}") * b
+    return docs.withColumn(e, _evidence_of(lexicon)(docs[text])).withColumn(name, 1 / (1 + F.exp(-z))).drop(e)
