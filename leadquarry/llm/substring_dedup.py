@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,7 @@ class Batch:
         self.sizes = np.array([len(ws) for ws in self.words], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.window, self.n = window, int(self.sizes.sum())
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = np.fromiter((digest(w) for ws in self.words for w in ws), np.uint64, self.n)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, self.n)
         self.row = np.repeat(np.arange(len(self.words)), self.sizes)
         self.place = np.arange(self.n) - self.first[self.row]
         self.after = self.sizes[self.row] - self.place  # words from here to the end of the text
@@ -93,9 +93,7 @@ def _within(rows: np.ndarray, hashes: np.ndarray, lists: pa.Array) -> np.ndarray
 
 
 def _pairs(ids: pa.Array, rows: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """(h, doc_id), each once per batch."""
-    both = np.unique(np.stack([ids.to_numpy()[rows], hashes.view(np.int64)], 1), axis=0) if len(rows) else np.empty((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 1].copy()), pa.array(both[:, 0].copy())], ["h", "doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids.to_numpy()[rows])], ["h", "doc_id"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
