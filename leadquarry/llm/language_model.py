@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _coded(texts: pa.Array, codes: Codes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """The tokens of each text, all codes end to end, and where texts begin."""
     each = [tokens(t.as_py()) for t in texts]
-    flat = np.fromiter((codes[w] for ws in each for w in ws), np.int64)
+    flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(each)), np.int64)
     return each, flat, np.cumsum([0] + [len(ws) for ws in each])[:-1]
 
 
