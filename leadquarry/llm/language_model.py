@@ -50,11 +50,11 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Codes(dict):
-    """token -> hash * 64 + class, computed once per token."""
+    """token -> place among the frequent tokens (from 1), hash and class in one integer, made once per token."""
 
-    def __init__(self, own: dict[bytes, int]):
+    def __init__(self, own: dict[bytes, int], frequent: list[bytes] = ()):  # type: ignore[assignment]
         super().__init__()
-        self.own = own
+        self.own, self.places = own, {t: i + 1 for i, t in enumerate(frequent)}
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= CACHED:
@@ -62,28 +62,35 @@ class Codes(dict):
         which = self.own.get(token)
         if which is None:
             which = WORD_CLASSES + xxhash.xxh32_intdigest(token[-3:]) % (CLASSES - WORD_CLASSES)
-        code = self[token] = (xxhash.xxh32_intdigest(token) & 0x3FFFFFF) * 64 + which
+        code = self[token] = self.places.get(token, 0) << 32 | (xxhash.xxh32_intdigest(token) & 0x3FFFFFF) << 6 | which
         return code
 
 
 def features(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table rows (tokens x kinds) and classes; ``first`` marks the first token of each text."""
-    h = codes >> 6
+    h = codes >> 6 & 0x3FFFFFF
     one = np.concatenate(([0], h[:-1]))
     one[first] = 0
     two = np.concatenate(([0], one[:-1]))
     two[first] = 0
     both = (one * 0x9E3779B1 + two * 0x85EBCA6B + 1) & 0xFFFFFFFF
     rows = np.stack([one % ROWS, ROWS + (two * 31 + 7) % ROWS, 2 * ROWS + (both >> 7) % ROWS], 1)
-    return rows, codes & 63
+    return rows.astype(np.uint16), codes & 63
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]] + table[rows[:, 1]]
+def _exponentials(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the classes less their largest, and the exponentials of that."""
+    z = table[rows[:, 0]]
+    z += table[rows[:, 1]]
     z += table[rows[:, 2]]
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    return z, np.exp(z)
+
+
+def log_probability(table: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each class's softmax."""
+    z, e = _exponentials(table, rows)
+    return z[np.arange(len(z)), classes] - np.log(e.sum(1))
 
 
 def _coded(texts: pa.Array, codes: Codes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -98,7 +105,8 @@ class Model:
     own: dict[bytes, int]  # tokens that are a class by themselves
     table: np.ndarray
     log_size: np.ndarray  # per class: log10 of its total count and shares
-    frequent: dict[bytes, float]  # token -> log10(count + 1)
+    frequent: list[bytes]
+    logs: np.ndarray  # log10(count + 1) of the frequent tokens
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
@@ -142,10 +150,13 @@ def _updates(table: np.ndarray, own: dict[bytes, int]):
             rows, y = features(flat, first)
             for at in range(0, len(flat), BATCH):
                 r, target = rows[at:at + BATCH], y[at:at + BATCH]
-                g = np.exp(log_softmax(w, r))
+                _, g = _exponentials(w, r)
+                g /= g.sum(1, keepdims=True)
                 g[np.arange(len(r)), target] -= 1
-                order = np.argsort(r.ravel(), kind="stable")
-                changed, starts, n = np.unique(r.ravel()[order], return_index=True, return_counts=True)
+                order = np.argsort(r.ravel(), kind="stable")  # 16-bit numbers are sorted by their digits
+                ordered = r.ravel()[order]
+                starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+                changed, n = ordered[starts].astype(np.int64), np.diff(np.append(starts, len(ordered)))
                 step = np.add.reduceat(g[order // KINDS], starts, axis=0)
                 squares[changed] += step * step
                 w[changed] -= RATE * step / np.sqrt(squares[changed])
@@ -187,33 +198,35 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
         change = summed.toPandas()  # one row per table row at most
         discard(summed)
         table[change.row.to_numpy()] += (change.filter(regex="^d").to_numpy() / change.n.to_numpy()[:, None]).astype(np.float32)
-    return Model(own, table, np.log10(shares), {t: float(np.log10(c + 1)) for t, c in known.items()})
+    frequent = sorted(known)
+    return Model(own, table, np.log10(shares), frequent, np.log10(np.array([known[t] for t in frequent], float) + 1))
 
 
 def _score_rows(model: Model):
     """Per text one row with its sums over frequent tokens, and one row per other token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, frequent = Codes(model.own), model.frequent
+        codes, logs = Codes(model.own, model.frequent), np.concatenate(([0.0], model.logs))
         for batch in batches:
             each, flat, first = _coded(batch.column(2), codes)
+            if not len(each):
+                continue
             r, y = features(flat, first)
             classes = np.empty(len(flat))
             for at in range(0, len(flat), BATCH):  # tokens of neighbouring texts in one array operation
-                p, own = log_softmax(model.table, r[at:at + BATCH]), y[at:at + BATCH]
-                classes[at:at + BATCH] = p[np.arange(len(p)), own] / np.log(10) - model.log_size[own]
-            sums = np.add.reduceat(classes, first) if len(first) else classes
+                own = y[at:at + BATCH]
+                classes[at:at + BATCH] = log_probability(model.table, r[at:at + BATCH], own) / np.log(10) - model.log_size[own]
+            place = flat >> 32
+            sums, known, some = (np.add.reduceat(x, first).tolist() for x in (classes, (place > 0).astype(np.int64), logs[place]))
+            rare_at = np.flatnonzero(place == 0)
+            cuts = np.searchsorted(rare_at, np.append(first, len(flat))).tolist()
+            words = list(chain.from_iterable(each))
+            rare_words = [words[i] for i in rare_at.tolist()]
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for i, d, ws, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), each, sums.tolist()):
-                rare, known, logs = {}, 0, 0.0
-                for w, n in Counter(ws).items():
-                    if (x := frequent.get(w)) is None:
-                        rare[w] = n
-                    else:
-                        known += n
-                        logs += n * x
-                for column, v in zip(out, ([i] * (len(rare) + 1), [d] + [None] * len(rare), [None, *rare], [len(ws), *rare.values()], [known] + [0] * len(rare),
-                                           [logs] + [0.0] * len(rare), [s] + [0.0] * len(rare))):
+            for j, (i, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                rare = Counter(rare_words[cuts[j]:cuts[j + 1]])
+                for column, v in zip(out, ([i] * (len(rare) + 1), [d] + [None] * len(rare), [None, *rare], [len(each[j]), *rare.values()],
+                                           [known[j]] + [0] * len(rare), [some[j]] + [0.0] * len(rare), [sums[j]] + [0.0] * len(rare))):
                     column.extend(v)
             types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],

@@ -38,6 +38,8 @@ from leadquarry.llm.graph import components
 from leadquarry.session import discard, settings, spool
 
 BUCKET = 4096
+#: A bucket whose path leaves so few bits open holds few classes whatever the data; it is not split again.
+FEW_BITS = 8
 #: Buckets up to this size are compared in one array operation for all buckets of a size.
 STACKED = 48
 
@@ -189,12 +191,13 @@ def _deeper(hot: DataFrame, how: SimHash) -> DataFrame:
             keys, rows = [], []
             for i, path in enumerate(batch.column(0).to_pylist()):
                 used = {int(u) for u in path.rpartition("|")[2].split(",")}
-                rest = np.array([b for b in range(how.bits) if b not in used])
+                rest = np.array([b for b in range(how.bits) if b not in used], np.int64)
                 for piece in np.array_split(rest, pieces):
                     now = ",".join(map(str, sorted(used | set(piece.tolist()))))
+                    last = "=" if len(rest) - len(piece) <= FEW_BITS else ""
                     text = "".join(map(str, bits[i, piece]))
                     for j in range(len(piece)):
-                        keys.append(f"{path.rpartition('|')[0]}/{piece[j]}:{text[:j]}*{text[j + 1:]}|{now}")
+                        keys.append(f"{last}{path.rpartition('|')[0]}/{piece[j]}:{text[:j]}*{text[j + 1:]}|{now}")
                         rows.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), *[pa.array(values[rows, w].view(np.int64)) for w in range(how.words)]],
@@ -209,10 +212,11 @@ def class_links(classes: DataFrame, how: SimHash, bucket: int = BUCKET) -> DataF
     variants, found, depth = _variants(classes, how), [], 0
     while True:
         counts = spool(variants.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-        small = variants.join(counts.where(F.col("n") <= bucket).select("k"), "k")
+        fine = (F.col("n") <= bucket) | (F.col("k").startswith("=") if depth else F.lit(False))
+        small = variants.join(counts.where(fine).select("k"), "k")
         with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # both sides dealt by variant
             found.append(spool(_linked(small, how)))
-        hot = counts.where(F.col("n") > bucket).select("k")
+        hot = counts.where(~fine).select("k")
         if hot.isEmpty():
             discard(counts)
             break

@@ -80,13 +80,13 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lead = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     which, at = of[lead], begin[lead]
     kinds = KINDS[data]
-    bounds = np.append(at, len(data) - 9)
-    total = np.diff(bounds).astype(np.float32)
+    upto = np.minimum(np.append(at[1:], len(data)), text_end[doc[lead]])
+    total, spans = (upto - at).astype(np.float32), np.stack([at, upto], 1).ravel()
     for k in range(6 + SIGNS):
-        out[which, k] = np.add.reduceat(kinds[:bounds[-1]] == k, at, dtype=np.int64) / total
+        out[which, k] = np.add.reduceat(kinds == k, spans, dtype=np.int64)[::2] / total
     words = np.diff(np.append(lead, len(begin))).astype(np.float32)
     again = np.concatenate(([False], (data[1:] == data[:-1]) & (kinds[1:] >= 6)))
-    out[which, 16] = np.add.reduceat(again[:bounds[-1]], at, dtype=np.int64) / total
+    out[which, 16] = np.add.reduceat(again, spans, dtype=np.int64)[::2] / total
     out[which, 17] = np.log1p(words) / 5
     out[which, 18] = np.add.reduceat(stop - begin, lead) / words / 10
     out[which, 19] = np.add.reduceat(kinds[begin] == UPPER, lead, dtype=np.int64) / words
