@@ -24,10 +24,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ ROWS = 1 << 13  # table rows of each kind of feature
 KINDS = 3
 FREQUENT = 1 << 16
 ROUNDS = 2
-BATCH = 4096  # tokens per gradient step
+BATCH = 1 << 14  # tokens per gradient step
 RATE = 0.15
 CACHED = 1 << 18  # token codes that a task remembers
 
@@ -54,15 +54,21 @@ class Codes(dict):
 
     def __init__(self, own: dict[bytes, int], frequent: list[bytes] = ()):  # type: ignore[assignment]
         super().__init__()
-        self.own, self.places = own, {t: i + 1 for i, t in enumerate(frequent)}
+        self.known = {t: i + 1 << 32 | self.ending(t) for i, t in enumerate(frequent)}
+        self.known |= {t: self.known.get(t, 0) >> 32 << 32 | c for t, c in own.items()}
+
+    @staticmethod
+    def ending(token: bytes) -> int:
+        """The class of a token that is none by itself."""
+        return WORD_CLASSES + crc32(token[-3:]) % (CLASSES - WORD_CLASSES)
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= CACHED:
             self.clear()
-        which = self.own.get(token)
-        if which is None:
-            which = WORD_CLASSES + xxhash.xxh32_intdigest(token[-3:]) % (CLASSES - WORD_CLASSES)
-        code = self[token] = self.places.get(token, 0) << 32 | (xxhash.xxh32_intdigest(token) & 0x3FFFFFF) << 6 | which
+        code = self.known.get(token)
+        if code is None:
+            code = WORD_CLASSES + crc32(token[-3:]) % (CLASSES - WORD_CLASSES)
+        code = self[token] = code | (crc32(token) & 0x3FFFFFF) << 6
         return code
 
 
@@ -80,9 +86,9 @@ def features(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _exponentials(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores of the classes less their largest, and the exponentials of that."""
-    z = table[rows[:, 0]]
-    z += table[rows[:, 1]]
-    z += table[rows[:, 2]]
+    z = table.take(rows[:, 0], axis=0)
+    z += table.take(rows[:, 1], axis=0)
+    z += table.take(rows[:, 2], axis=0)
     z -= z.max(1, keepdims=True)
     return z, np.exp(z)
 
@@ -90,7 +96,7 @@ def _exponentials(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
 def log_probability(table: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Natural logarithm of each class's softmax."""
     z, e = _exponentials(table, rows)
-    return z[np.arange(len(z)), classes] - np.log(e.sum(1))
+    return z[np.arange(len(z)), classes] - np.log(e @ np.ones(CLASSES, e.dtype))
 
 
 def _coded(texts: pa.Array, codes: Codes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -151,16 +157,16 @@ def _updates(table: np.ndarray, own: dict[bytes, int]):
             for at in range(0, len(flat), BATCH):
                 r, target = rows[at:at + BATCH], y[at:at + BATCH]
                 _, g = _exponentials(w, r)
-                g /= g.sum(1, keepdims=True)
+                g /= (g @ np.ones(CLASSES, g.dtype))[:, None]
                 g[np.arange(len(r)), target] -= 1
-                order = np.argsort(r.ravel(), kind="stable")  # 16-bit numbers are sorted by their digits
-                ordered = r.ravel()[order]
-                starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                changed, n = ordered[starts].astype(np.int64), np.diff(np.append(starts, len(ordered)))
-                step = np.add.reduceat(g[order // KINDS], starts, axis=0)
-                squares[changed] += step * step
-                w[changed] -= RATE * step / np.sqrt(squares[changed])
-                touched[changed] += n
+                at_rows = r.ravel().astype(np.intp)
+                n = np.bincount(at_rows, minlength=len(w))
+                changed = np.flatnonzero(n)
+                step = np.stack([np.bincount(at_rows, np.repeat(c, KINDS), len(w)).take(changed) for c in g.T], 1).astype(np.float32)
+                grown = squares.take(changed, axis=0) + step * step
+                squares[changed] = grown
+                w[changed] -= RATE * step / np.sqrt(grown)
+                touched += n
         rows = np.flatnonzero(touched)
         change = (w - table)[rows] * touched[rows, None]
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(touched[rows]), *[pa.array(c.astype(float)) for c in change.T]],
