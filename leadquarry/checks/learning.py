@@ -37,7 +37,7 @@ def _h(salt: str) -> str:
 
 SCORECARD = f"""{S.LABELED},
 vals AS ({_VALS}), edges AS (SELECT f, list_distinct(quantile_disc(x, {_PROBS})) AS e FROM vals WHERE x IS NOT NULL GROUP BY f),
-cats AS ({_CATS}), codes AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, v) - 1 AS code FROM cats GROUP BY f, v QUALIFY code < 29),
+cats AS ({_CATS}), codes AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY count(*) DESC, v) - 1 AS code FROM cats GROUP BY f, v),
 bins AS MATERIALIZED (SELECT biz_id, f, CASE WHEN x IS NULL THEN len(e) + 1 ELSE len(list_filter(e, lambda q: q <= x)) END AS bin, len(e) + 2 AS size FROM vals JOIN edges USING (f)
   UNION ALL SELECT biz_id, cats.f, coalesce(code, n), n + 1 FROM cats LEFT JOIN codes ON codes.f = cats.f AND codes.v = cats.v
     JOIN (SELECT f, count(*) AS n FROM codes GROUP BY f) m ON m.f = cats.f),

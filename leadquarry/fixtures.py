@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
+# {np}, {ng}: numbers of parts and pages, literals for Spark, scalar subqueries for the check.
 B0 = """
   SELECT c.c_custkey AS k, c.c_nationkey AS nk, c.c_mktsegment AS seg, n.n_name AS gov, p.p_name AS pn, p.p_type AS pt,
          g.url AS url, o.cnt AS cnt,
@@ -17,8 +18,8 @@ B0 = """
          CAST(20000000 + (c.c_custkey * 611953) % 79999999 AS VARCHAR(20)) AS ph
   FROM customer c
   JOIN nation n ON n.n_nationkey = c.c_nationkey
-  JOIN part p ON p.p_partkey = c.c_custkey % 200
-  JOIN pages g ON g.page_id = c.c_custkey % 50
+  JOIN part p ON p.p_partkey = c.c_custkey % {np} + 1
+  JOIN pages g ON g.page_id = c.c_custkey % {ng}
   LEFT JOIN (SELECT o_custkey, count(*) AS cnt FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
 """
 
@@ -58,9 +59,11 @@ PURCHASES = """
         FROM supplier s JOIN {b0} b ON b.k = (s.s_suppkey * 13 + 1) % {nc}) p0
 """
 
+SQL_B0 = B0.format(np="(SELECT count(*) FROM part)", ng="(SELECT count(*) FROM pages)")
+
 # The SQL side as a chain of common table expressions.
 SQL_FIXTURE = (
-    f"WITH b0 AS ({B0}), businesses AS ({BUSINESSES.format(b0='b0')}), "
+    f"WITH b0 AS ({SQL_B0}), businesses AS ({BUSINESSES.format(b0='b0')}), "
     f"purchases AS ({PURCHASES.format(b0='b0', nc='(SELECT count(*) FROM customer)')})"
 )
 
@@ -74,12 +77,16 @@ def _views(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def _b0(spark: SparkSession, sf_dir: str) -> str:
+    return B0.format(np=table(spark, sf_dir, "part").count(), ng=table(spark, sf_dir, "pages").count())
+
+
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     _views(spark, sf_dir)
-    return spark.sql(BUSINESSES.format(b0=f"({B0})"))
+    return spark.sql(BUSINESSES.format(b0=f"({_b0(spark, sf_dir)})"))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     _views(spark, sf_dir)
     n_customers = table(spark, sf_dir, "customer").count()
-    return spark.sql(PURCHASES.format(b0=f"({B0})", nc=n_customers))
+    return spark.sql(PURCHASES.format(b0=f"({_b0(spark, sf_dir)})", nc=n_customers))

@@ -12,12 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Characters, padding included, that one band of pairs may span.
+BAND_CELLS = 4_000_000
+
+
 def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
-    """LCS length of each pair.  One bit per character of ``left``, one step per character of
-    ``right``; all pairs advance together."""
+    """LCS length of each pair, worked out in bands of pairs of like length.
+
+    A band's arrays are as wide as its longest string, so one very long string costs its own
+    length only and not that of every pair of the batch."""
+    longest = np.fromiter((max(len(a), len(b)) for a, b in zip(left, right)), dtype=np.int64, count=len(left))
+    order, out, at = np.argsort(longest, kind="stable"), np.zeros(len(left), dtype=np.int64), 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and longest[order[upto]] * (upto + 1 - at) <= BAND_CELLS:
+            upto += 1
+        band = order[at:upto]
+        out[band] = _band_lcs([left[i] for i in band], [right[i] for i in band])
+        at = upto
+    return out
+
+
+def _band_lcs(left: list[str], right: list[str]) -> np.ndarray:
+    """One bit per character of ``left``, one step per character of ``right``; all pairs advance together."""
     n = len(left)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
     uniq, inverse = np.unique(np.asarray(left, dtype=object), return_inverse=True)
     alphabet: dict[str, int] = {}
     for s in uniq:
@@ -63,10 +81,16 @@ def indel_score(dist, total):
 
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Normalised Indel similarity of two strings."""
+    """Normalised Indel similarity of two strings; null if either is."""
+    a, b, null = _known(a, b)
     la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
     common = lcs_lengths(a.tolist(), b.tolist())
-    return pd.Series(indel_score(la + lb - 2 * common, la + lb))
+    return pd.Series(indel_score(la + lb - 2 * common, la + lb)).mask(null)
+
+
+def _known(a: pd.Series, b: pd.Series) -> tuple[pd.Series, pd.Series, pd.Series]:
+    """Both sides with empty strings for nulls, and which pairs have a null."""
+    return a.fillna(""), b.fillna(""), a.isna() | b.isna()
 
 
 def _sorted_tokens(s: str) -> str:
@@ -75,15 +99,18 @@ def _sorted_tokens(s: str) -> str:
 
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel similarity of the alphabetically sorted words."""
+    """Indel similarity of the alphabetically sorted words; null if either string is."""
+    a, b, null = _known(a, b)
     sa, sb = [_sorted_tokens(x) for x in a], [_sorted_tokens(x) for x in b]
     total = np.array([len(x) + len(y) for x, y in zip(sa, sb)])
-    return pd.Series(indel_score(total - 2 * lcs_lengths(sa, sb), total))
+    return pd.Series(indel_score(total - 2 * lcs_lengths(sa, sb), total)).mask(null)
 
 
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best of: rest against rest, shared words against each full side; 100 for containment."""
+    """Best of: rest against rest, shared words against each full side; 100 for containment; null if
+    either string is."""
+    a, b, null = _known(a, b)
     rest_a, rest_b, shared = [], [], []
     for x, y in zip(a, b):
         tx, ty = set(x.split()), set(y.split())
@@ -101,7 +128,7 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     with_b = indel_score(gap + lb, sh + full_b)
     score = np.where(sh > 0, np.maximum(score, np.maximum(with_a, with_b)), score)
     score = np.where((sh > 0) & ((la == 0) | (lb == 0)), 100.0, score)
-    return pd.Series(np.where(empty, 0.0, score))
+    return pd.Series(np.where(empty, 0.0, score)).mask(null)
 
 
 N_CLASSES = 32  # letter classes of the histogram bound; any fold of code points is sound

@@ -172,7 +172,7 @@ def class_balance(df: DataFrame, label: str, split: str = "split") -> DataFrame:
 # ---- distributions ---------------------------------------------------------------------
 
 def reliability_bins(preds: DataFrame, n_bins: int = 10) -> DataFrame:
-    """Quantile bins: mean prediction and share of positives (equal edges merge)."""
+    """Quantile bins: mean probability and share of positives (equal edges merge)."""
     edges = exact_quantiles(preds, "prob", [i / n_bins for i in range(1, n_bins)])
     inner = F.array(*[F.lit(e) for e in edges])
     b = F.size(F.filter(inner, lambda e: e < F.col("prob")))

@@ -81,11 +81,32 @@ def scalar_features(df: DataFrame) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()])
 
 
+#: Group tables up to this number of rows are sent to all tasks; larger ones are joined by shuffle.
+BROADCAST_GROUPS = 200_000
+
+
+def group_sizes(df: DataFrame, sizes: dict[str, str], id_col: str = "biz_id") -> DataFrame:
+    """Frequencies of a row's values, for several columns (column -> name of its frequency) at once.
+
+    All columns are counted in one pass with map-side combine.  A counted small table is sent to
+    the rows; with more groups the rows are joined by value, missing values spread over keys that
+    match nothing.  A missing value has no frequency."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in sizes])).alias("x")).select("x.*")
+    counts = cut(long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n")))
+    few = counts.count() <= BROADCAST_GROUPS
+    for c, out in sizes.items():
+        own = counts.where(F.col("c") == c).select(F.col("v").alias("__v"), F.col("n").alias(out))
+        key = F.col(c).cast("string")
+        if not few:
+            key = F.coalesce(key, F.concat(F.lit("\u0000"), (F.xxhash64(id_col) % 1024).cast("string")))
+        df = df.withColumn("__k", key).join(F.broadcast(own) if few else own, F.col("__k") == F.col("__v"), "left").drop("__k", "__v")
+    return df
+
+
 def group_size(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Frequency of a row's value.  Counted with map-side combine and joined back, so a value
-    held by a third of the rows is never gathered in one window task."""
-    sizes = df.groupBy(key).agg(F.count("*").alias(out))
-    return df.join(sizes, key, "left")
+    """Frequency of a row's value of one column."""
+    return group_sizes(df, {key: out})
 
 
 def build_features(labeled: DataFrame, version: str = "v2", id_col: str = "biz_id",
@@ -96,9 +117,8 @@ def build_features(labeled: DataFrame, version: str = "v2", id_col: str = "biz_i
     (ids) to leave those out of the proximity features.
     """
     base = cut(scalar_features(labeled))
-    df = group_size(base, "governorate", "gov_size")
-    df = group_size(df, "category", "category_size")
-    df = group_size(df, "search_category", "search_category_size")
+    df = group_sizes(base, {
+        "governorate": "gov_size", "category": "category_size", "search_category": "search_category_size"}, id_col)
     df = competitor_density(df, source=base)
     if version == "v1":
         return df.select(id_col, *FEATURES_V1, "is_customer")
@@ -121,10 +141,10 @@ def build_features(labeled: DataFrame, version: str = "v2", id_col: str = "biz_i
 
 
 def model_matrix(features: DataFrame, id_col: str = "biz_id", label: str = "is_customer") -> DataFrame:
-    """Features without id and target; a missing weight column reads as 1."""
+    """Features without id and target, with their weight; a missing weight column reads as 1."""
     if "positive_weight" not in features.columns:
         features = features.withColumn("positive_weight", F.lit(1.0))
-    return features
+    return features.drop(id_col, label)
 
 
 def base_rate(features: DataFrame, label: str = "is_customer") -> DataFrame:

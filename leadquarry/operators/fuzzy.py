@@ -20,19 +20,14 @@ BLOCK_CELLS = 2_000_000   # query x name cells bounded at a time inside a task
 def distinct_names(businesses: DataFrame, norm: str = "norm") -> DataFrame:
     """One row per normalised name with its two lowest ids: all a best-two join can need.
 
-    ``min`` aggregates combine before the shuffle, so a name shared by a third of the rows
-    costs one row per map task.
+    The row-number filter becomes a group limit below the shuffle, so a name shared by a third of
+    the rows sends two rows per map task.
     """
     rows = businesses.where(F.col(norm) != "").select(F.col(norm).alias("norm"), "biz_id")
-    first = rows.groupBy("norm").agg(F.min("biz_id").alias("id1"), F.max("biz_id").alias("last"))
-    single = first.where("id1 = last").select("norm", "id1", F.lit(None).cast("long").alias("id2"))
-    repeated = first.where("id1 < last").select("norm", "id1")
-    second = (
-        rows.join(repeated, "norm").where(F.col("biz_id") > F.col("id1"))
-        .groupBy("norm", "id1").agg(F.min("biz_id").alias("id2"))
-    )
-    return single.unionByName(second)
-
+    place = F.row_number().over(Window.partitionBy("norm").orderBy("biz_id"))
+    first_two = rows.withColumn("place", place).where(F.col("place") <= 2)
+    return first_two.groupBy("norm").agg(
+        F.min("biz_id").alias("id1"), F.min(F.when(F.col("place") == 2, F.col("biz_id"))).alias("id2"))
 
 
 def contained_matches(queries: DataFrame, names: DataFrame) -> DataFrame:

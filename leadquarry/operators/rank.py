@@ -7,6 +7,7 @@ partition.  The sorted rows are checkpointed first so that both readings see one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from leadquarry.session import cut
 
+#: Group tables up to this number of rows are sent to all tasks; larger ones are joined by shuffle.
+BROADCAST_GROUPS = 200_000
 _PID = "__pid"
 _POS = "__pos"
 
@@ -44,10 +47,12 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
 def grouped_row_numbers(df: DataFrame, group: str, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Ranks 1..n inside each group, with groups larger than one task allowed."""
     numbered = cut(row_numbers(df, [F.asc(group), *order], "__g"))
-    start = numbered.groupBy(group).agg(F.min("__g").alias("__s"))
+    start = cut(numbered.groupBy(group).agg(F.min("__g").alias("__s")).withColumnRenamed(group, "__of"))
+    if start.count() <= BROADCAST_GROUPS:      # one row per group; a group may hold any share of the rows
+        start = F.broadcast(start)
     return (
-        numbered.join(start, numbered[group].eqNullSafe(start[group]))
-        .drop(start[group])
+        numbered.join(start, F.col(group).eqNullSafe(F.col("__of")))
+        .drop("__of")
         .withColumn(name, F.col("__g") - F.col("__s") + 1)
         .drop("__g", "__s")
     )
@@ -86,8 +91,11 @@ def average_ranks(scores: DataFrame, group: str = "method", score: str = "score"
 def ensemble(scores: DataFrame, weights: dict[str, float] | None = None, id_col: str = "biz_id") -> DataFrame:
     """Rank ensemble of long ``(id, method, score)`` rows: mean rank over methods / n.
 
+    A missing score takes no rank: such a row is averaged over the methods that score it, and a
+    row that no method scores has a null score.
     ``weights`` maps a method to its weight (normalised here); absent means equal weights.
     """
+    ids, scores = scores, scores.where(F.col("score").isNotNull())
     ranks = average_ranks(scores)
     per_row = scores.join(ranks.select("method", "score", "avg_rank"), ["method", "score"])
     sizes = scores.groupBy("method").agg(F.count("*").alias("m"))     # one row per method
@@ -96,11 +104,13 @@ def ensemble(scores: DataFrame, weights: dict[str, float] | None = None, id_col:
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         weight = F.create_map(*pairs)[F.col("method")]
-    return (
+    ranked = (
         per_row.join(F.broadcast(sizes), "method")
         .groupBy(id_col)
         .agg((F.sum(weight * F.col("avg_rank") / F.col("m")) / F.sum(weight)).alias("score"))
     )
+    unscored = ids.groupBy(id_col).agg(F.count("score").alias("n")).where("n = 0")
+    return ranked.unionByName(unscored.select(id_col, F.lit(None).cast("double").alias("score")))
 
 
 def ranked_list(df: DataFrame, score: str, id_col: str = "biz_id", label: str | None = "is_customer",
@@ -127,25 +137,45 @@ def head(df: DataFrame, score: str, n: int = 10, id_col: str = "biz_id") -> Data
     return df.orderBy(F.desc_nulls_last(score), F.asc(id_col)).limit(n)
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[float | None]:
-    """Linear-interpolated quantiles from ranks: no task ever holds the whole column.
+def exact_quantiles_by_column(df: DataFrame, columns: Sequence[str], qs: Sequence[float],
+                              discrete: bool = False) -> dict[str, list[float | None]]:
+    """Quantiles of several columns from one shared sort: no task ever holds a whole column.
 
-    Only the at most ``2 * len(qs)`` rows at the wanted positions reach the driver.
+    Linear interpolation, or with ``discrete`` the smallest value that a share ``q`` of the rows
+    does not exceed.  Only the at most ``2 * len(qs)`` rows a column at the wanted positions reach
+    the driver, and the result is the same under any partitioning.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("n")).withColumn("g", F.lit(0))
-    pre = cut(prefix_sums(counts, "g", [F.asc("v")], ["n"]))
-    total = pre.agg(F.sum("n")).first()[0]
-    if not total:
-        return [None] * len(qs)
-    spots = sorted({int(f) for q in qs for f in ((total - 1) * q, min((total - 1) * q + 1, total - 1))})
-    wanted = F.array(*[F.lit(s).cast("long") for s in spots])
+    if not columns:
+        return {}
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    counts = long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
+    pre = cut(prefix_sums(counts, "c", [F.asc("v")], ["n"]))
+    totals = {r.c: r.n for r in pre.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+
+    def places(n: int, q: float) -> tuple[int, int]:
+        if discrete:
+            at = max(1, n - math.floor(n - q * n)) - 1
+            return at, at
+        at = int((n - 1) * q)
+        return at, min(at + 1, n - 1)
+    wanted = F.array().cast("array<bigint>")
+    for c, n in totals.items():
+        spots = sorted({p for q in qs for p in places(n, q)})
+        wanted = F.when(F.col("c") == c, F.array(*[F.lit(p).cast("long") for p in spots])).otherwise(wanted)
     hit = F.filter(wanted, lambda s: (s >= F.col("n_before")) & (s < F.col("n_before") + F.col("n")))
-    at = {r.s: r.v for r in pre.select("v", F.explode(hit).alias("s")).collect()}
-    out = []
-    for q in qs:
-        h = (total - 1) * q
-        lo = int(h)
-        hi = min(lo + 1, total - 1)
-        out.append(at[lo] + (at[hi] - at[lo]) * (h - lo))
+    at = {(r.c, r.s): r.v for r in pre.select("c", "v", F.explode(hit).alias("s")).collect()}
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        n = totals.get(c)
+        out[c] = [None] * len(qs) if not n else []
+        for q in qs if n else ():
+            lo, hi = places(n, q)
+            share = 0.0 if discrete else (n - 1) * q - lo
+            out[c].append(at[c, lo] + (at[c, hi] - at[c, lo]) * share)
     return out
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> list[float | None]:
+    """Linear-interpolated quantiles of one column."""
+    return exact_quantiles_by_column(df, [value], qs)[value]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from leadquarry.functions.features import not_null
 from leadquarry.operators.calibrate import fit_isotonic
 from leadquarry.operators.evaluate import area_metrics
-from leadquarry.operators.learners import frequent_categories, split_types
-from leadquarry.operators.rank import exact_quantiles
+from leadquarry.operators.learners import frequent_categories, split_types, wide_enough
+from leadquarry.operators.rank import exact_quantiles, exact_quantiles_by_column
 from leadquarry.operators.sampling import place
 from leadquarry.session import cut
 
@@ -37,6 +37,10 @@ BOOSTED_GRID = [{"iterations": 400, "step": 0.05, "depth": 5}, {"iterations": 70
 # ---------------------------------------------------------------------------------------
 
 
+#: Grid points that are fitted at the same time.
+FITS_SIDE_BY_SIDE = 3
+
+
 # ---- data preparation ------------------------------------------------------------------
 
 def presence_flags(df: DataFrame) -> DataFrame:
@@ -120,12 +124,10 @@ def collapse_rare(df: DataFrame, columns: Sequence[str], limit: int = 30, infreq
     """Most-frequent fill, then values outside the top ``limit - 1`` become one bucket.
 
     A column with at most ``limit`` values keeps them all."""
-    top = frequent_categories(df, columns, limit + 2)      # enough to see whether there are more
-    out = {}
+    kept, out = kept_categories(df, columns, limit), {}
     for c in columns:
-        values = top[c] if len(top[c]) <= limit else top[c][: limit - 1]
-        filled = F.coalesce(F.col(c).cast("string"), F.lit(top[c][0] if top[c] else infrequent))
-        out[c] = F.when(filled.isin(values), filled).otherwise(infrequent)
+        filled = F.coalesce(F.col(c).cast("string"), F.lit(kept[c][0] if kept[c] else infrequent))
+        out[c] = F.when(filled.isin(kept[c]), filled).otherwise(infrequent)
     return df.withColumns(out)
 
 
@@ -147,39 +149,47 @@ def prepare_numeric(train: DataFrame, df: DataFrame, columns: Sequence[str], sca
     return out.withColumns({c: (F.col(c) - m[f"m_{c}"]) / (m[f"s_{c}"] or 1.0) for c in cols})
 
 
+def kept_categories(train: DataFrame, columns: Sequence[str], limit: int = 30) -> dict[str, list[str]]:
+    """Values that keep a column of their own: all of at most ``limit``, else the ``limit - 1`` most frequent."""
+    top = frequent_categories(train, columns, limit + 2)   # enough to see whether there are more
+    return {c: v if len(v) <= limit else v[: limit - 1] for c, v in top.items()}
+
+
 def prep_stages(train: DataFrame, schema: FeatureSchema, scale: bool, one_hot: bool) -> list:
-    """MLlib stages that turn raw columns into ``features``; usable on new rows."""
+    """MLlib stages that turn raw columns into ``features``; usable on new rows.
+
+    The same rules as :func:`prepare_numeric` and :func:`collapse_rare`: exact medians of the
+    training rows, population deviations, rare values as one bucket.  Without one-hot every
+    training category keeps its index, and unseen values count as missing ones."""
     numeric, text = schema.numeric, schema.categorical
     holes_row = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).first() if numeric else {}
     holes = [c for c in numeric if holes_row[c]]
-    top = frequent_categories(train, text)
+    medians = {c: m[0] if m[0] is not None else 0.0 for c, m in exact_quantiles_by_column(train, numeric, [0.5]).items()}
 
     def quoted(v: str) -> str:
         return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    exprs = [f"CAST(`{c}` AS DOUBLE) AS `{c}__n`" for c in numeric]
-    exprs += [f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}__m`" for c in holes]
+    values = {f"{c}__n": f"coalesce(CAST(`{c}` AS DOUBLE), {medians[c]!r}D)" for c in numeric}
+    values |= {f"{c}__m": f"CAST(`{c}` IS NULL AS DOUBLE)" for c in holes}
+    if scale and values:
+        m = train.selectExpr(*[f"{e} AS `{n}`" for n, e in values.items()]).agg(
+            *[f(c).alias(f"{k}_{c}") for c in values for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        values = {n: f"({e} - {m[f'm_{n}']!r}D) / {(m[f's_{n}'] or 1.0)!r}D" for n, e in values.items()}
+    exprs = [f"{e} AS `{n}`" for n, e in values.items()]
+    kept = kept_categories(train, text) if one_hot else {}
     for c in text:
-        kept = ", ".join(quoted(v) for v in top[c]) or "''"
-        fill = quoted(top[c][0]) if one_hot and top[c] else "'__NA__'"
-        exprs.append(f"CASE WHEN `{c}` IS NULL THEN {fill} WHEN CAST(`{c}` AS STRING) IN ({kept}) "
-                     f"THEN CAST(`{c}` AS STRING) ELSE '__rare__' END AS `{c}__t`")
+        value = f"CAST(`{c}` AS STRING)"
+        if one_hot:
+            among, fill = ", ".join(quoted(v) for v in kept[c]) or "''", quoted(kept[c][0]) if kept[c] else "'__rare__'"
+            value = f"CASE WHEN `{c}` IS NULL THEN {fill} WHEN {value} IN ({among}) THEN {value} ELSE '__rare__' END"
+        exprs.append(f"{value} AS `{c}__t`")
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
-    if numeric:
-        n = [f"{c}__n" for c in numeric]
-        stages.append(Imputer(strategy="median", inputCols=n, outputCols=n))
     if text:
         idx = [f"{c}__i" for c in text]
         stages.append(StringIndexer(inputCols=[f"{c}__t" for c in text], outputCols=idx, handleInvalid="keep"))
         if one_hot:
             stages.append(OneHotEncoder(inputCols=idx, outputCols=[f"{c}__v" for c in text], dropLast=False))
-    numbers = [f"{c}__n" for c in numeric] + [f"{c}__m" for c in holes]
     cats = [f"{c}__v" if one_hot else f"{c}__i" for c in text]
-    if scale:
-        stages += [VectorAssembler(inputCols=numbers, outputCol="__num"),
-                   StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True),
-                   VectorAssembler(inputCols=["__scaled", *cats], outputCol="features")]
-    else:
-        stages.append(VectorAssembler(inputCols=[*numbers, *cats], outputCol="features"))
+    stages.append(VectorAssembler(inputCols=[*values, *cats], outputCol="features"))
     return stages
 
 
@@ -235,9 +245,10 @@ def tune(name: str, spec: tuple, train: DataFrame, val: DataFrame, schema: Featu
     ready = cut(prep.transform(train).select(
         TARGET, "features", F.when(F.col(TARGET) == 1, F.lit(w1)).otherwise(F.lit(w0)).alias("__w")))
     val_ready = cut(prep.transform(val).select(F.col(TARGET).alias("label"), "features"))
+    with ThreadPoolExecutor(FITS_SIDE_BY_SIDE) as pool:    # independent fits on the same rows
+        fits = list(pool.map(lambda params: wide_enough(make(**params), ready).fit(ready), grid))
     best = None
-    for params in grid:
-        fitted = make(**params).fit(ready)
+    for params, fitted in zip(grid, fits):
         preds = fitted.transform(val_ready).select(
             F.lit(name).alias("model"), "label", vector_to_array("probability")[1].alias("prob"))
         ap = area_metrics(preds).first().pr_auc or 0.0

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadquarry.operators.rank import row_numbers
+from leadquarry.session import cut
+
 BUSINESS_SCHEMA = T.StructType([
     *[T.StructField(c, T.StringType()) for c in (
         "name", "address", "phone", "website", "email", "category", "search_category", "governorate")],
@@ -45,13 +48,23 @@ def require_column(df: DataFrame, column: str, path: str = "input") -> DataFrame
     return df
 
 
-def read_businesses(spark: SparkSession, path: str, name: str = "name", id_col: str = "biz_id") -> DataFrame:
-    return require_column(with_row_id(read_table(spark, path, BUSINESS_SCHEMA), id_col), name, path)
+def read_businesses(spark: SparkSession, path: str, name: str = "name", id_col: str = "biz_id",
+                    multi_line: bool = True) -> DataFrame:
+    """Businesses with an id in file order; ``multi_line=False`` lets large CSV files split."""
+    return require_column(with_row_id(read_table(spark, path, BUSINESS_SCHEMA, multi_line), id_col), name, path)
 
 
 def with_row_id(df: DataFrame, id_col: str) -> DataFrame:
-    """An explicit id in file order where the table has none."""
-    return df if id_col in df.columns else df.withColumn(id_col, F.monotonically_increasing_id())
+    """An explicit id 0, 1, ... by file name and place inside the file, where the table has none.
+
+    ``df`` must come straight from files.  Rows of one split are read in order, so the split's
+    start and the row's place in its task order them, whatever splits a task is given."""
+    if id_col in df.columns:
+        return df
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"),
+                       F.monotonically_increasing_id().alias("__row"))
+    numbered = row_numbers(cut(placed), [F.asc("__file"), F.asc("__from"), F.asc("__row")], "__n")
+    return numbered.withColumn(id_col, F.col("__n") - 1).drop("__file", "__from", "__row", "__n")
 
 
 def read_below_titles(spark: SparkSession, path: str, name: str, max_titles: int = 3) -> DataFrame:
