@@ -65,8 +65,8 @@ def main() -> None:
 
     def logistic():
         df = supervised.pseudo_label(supervised.presence_flags(s.ranked.drop("match_confidence", "match_reason")))
-        specs = supervised.model_specs(supervised.class_weights(df))
-        result, _ = supervised.train_models(df, {"LogisticRegression": specs["LogisticRegression"]})
+        family = "LogisticRegression"
+        result, _ = supervised.train_models(df, lambda weights: {family: supervised.model_specs(weights)[family]})
         sink(evaluate.model_comparison(result.test_predictions))
     timed("supervised_logistic_grid", logistic)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -275,21 +275,21 @@ def _preset(version: str, **kw):
 
 @query("preset_v1_ranked")
 def preset_v1(spark, sf):
-    return _preset("v1", rounds=20)(spark, sf).ranked
+    return _preset("v1")(spark, sf).ranked
 
 
 @query("preset_v2_comparison")
 def preset_v2(spark, sf):
-    return _preset("v2", seeds=(42, 43))(spark, sf).comparison
+    return _preset("v2")(spark, sf).comparison
 
 
 @query("preset_v3_ranked")
 def preset_v3(spark, sf):
-    return _preset("v3", seeds=(42, 43))(spark, sf).ranked
+    return _preset("v3")(spark, sf).ranked
 
 
 @query("experiments_comparison")
 def experiments(spark, sf):
     from leadquarry.plans import presets
     f = cut(FT.build_features(labeled(spark, sf), "v1"))
-    return presets.run_experiments(f, presets.Config(version="v1", seeds=(42, 43), rounds=20))["comparison"]
+    return presets.run_experiments(f, presets.Config(version="v1"))["comparison"]

@@ -115,20 +115,20 @@ def cal_summary(spark, sf):
 # ---- fitted models ---------------------------------------------------------------------
 
 def _light_specs(weights):
-    """The three model families with one light setting each."""
+    """The three model families: the whole logistic grid, one light setting of each tree family."""
     specs = SU.model_specs(weights)
     lr, rf, gbt = specs["LogisticRegression"], specs["RandomForest"], specs["BoostedTrees"]
     return {
-        "LogisticRegression": (lr[0], [{"C": 1.0}], *lr[2:]),
+        "LogisticRegression": lr,
         "RandomForest": (rf[0], [{"trees": 20, "depth": 8, "min_leaf": 2}], *rf[2:]),
         "BoostedTrees": (gbt[0], [{"iterations": 10, "step": 0.1, "depth": 4}], *gbt[2:]),
     }
 
 
 def _trained(spark, sf, only=None):
+    """The logistic family over its whole grid; the tree families with one setting (see README)."""
     df = SU.pseudo_label(SU.presence_flags(ranked(spark, sf).drop("match_confidence")))
-    specs = _light_specs(SU.class_weights(df))
-    return SU.train_models(df, {k: v for k, v in specs.items() if only is None or k in only})
+    return SU.train_models(df, lambda weights: {k: v for k, v in _light_specs(weights).items() if only is None or k in only})
 
 
 @query("supervised_model_comparison")
@@ -144,9 +144,10 @@ def scored(spark, sf):
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/bundle-{uuid.uuid4().hex}"
     types = dict(data.dtypes)
-    tables.save_bundle(result.best.model, {"columns": result.schema.features, "types": types, "threshold": SU.THRESHOLD}, path)
-    model, meta = tables.load_bundle(spark, path)
-    out = SU.score_rows(model, result.calibrator, fx.businesses(spark, sf), meta["columns"], meta["types"])
+    tables.save_bundle(result.best.model, {"columns": result.schema.features, "types": types, "threshold": SU.THRESHOLD}, path,
+                       result.calibrator)
+    model, calibrator, meta = tables.load_bundle(spark, path)
+    out = SU.score_rows(model, calibrator, fx.businesses(spark, sf), meta["columns"], meta["types"], threshold=meta["threshold"])
     return out.select("biz_id", "prob_client", "predicted_client")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -342,27 +342,31 @@ class SupervisedResult:
     calibrator: object
 
 
-def train_models(df: DataFrame, specs: dict[str, tuple] | None = None, seed: int = 42,
+def train_models(df: DataFrame, specs: Callable[[dict], dict[str, tuple]] = model_specs, seed: int = 42,
                  id_col: str = "biz_id") -> tuple[SupervisedResult, DataFrame]:
     """Flags, target, screens, split, tuning, selection and calibration.
 
-    Returns the result and the split table."""
+    ``specs`` makes the model families from the class weights of the training rows.  Returns the
+    result and the split table."""
     from leadquarry.operators.sampling import stratified_split
     df = cut(pseudo_label(presence_flags(df)))
     schema = identify_columns(df, (id_col,))
     data = cut(stratified_split(df, TARGET, seed, id_col=id_col))
     train, val, test = (data.where(F.col("split") == s) for s in ("train", "val", "test"))
-    specs = specs or model_specs(class_weights(train), seed)
-    tuned = [tune(name, spec, train, val, schema) for name, spec in specs.items()]
+    tuned = [tune(name, spec, train, val, schema) for name, spec in specs(class_weights(train)).items()]
     best = max(tuned, key=lambda t: t.val_ap)
     result = SupervisedResult(schema, tuned, best, cut(predictions(tuned, test, id_col)), calibrated_scorer(best, val))
     return result, data
 
 
 def score_rows(model: PipelineModel, calibrator, df: DataFrame, columns: Sequence[str], types: dict[str, str],
-               id_col: str = "biz_id") -> DataFrame:
-    """Probability and decision for new raw rows: flags recreated, columns aligned."""
+               id_col: str = "biz_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Probability and decision for new raw rows: flags recreated, columns aligned.
+
+    Without a calibrator the model's own probability decides."""
     df = presence_flags(df)
     rest = [c for c in df.columns if c not in columns]
     aligned = align_columns(df, columns, keep=rest, types=types)
-    return decide(apply_calibration(calibrator, positive_probability(model, aligned)).drop("prob"))
+    scored = positive_probability(model, aligned)
+    scored = scored.withColumnRenamed("prob", "prob_client") if calibrator is None else apply_calibration(calibrator, scored).drop("prob")
+    return decide(scored, threshold=threshold)

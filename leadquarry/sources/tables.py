@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,13 +137,17 @@ def write_json(spark: SparkSession, summary: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(summary),)], "value string").write.mode("overwrite").text(path)
 
 
-def save_bundle(model: PipelineModel, meta: dict, path: str) -> None:
-    """Fitted pipeline plus its metadata (feature list, threshold, calibration kind)."""
+def save_bundle(model: PipelineModel, meta: dict, path: str, calibrator: IsotonicRegressionModel | None = None) -> None:
+    """All that scoring new rows takes: fitted pipeline, calibrator, feature list, types, threshold."""
     model.write().overwrite().save(f"{path}/model")
+    if calibrator is not None:
+        calibrator.write().overwrite().save(f"{path}/calibrator")
     spark = SparkSession.getActiveSession()
+    meta = meta | {"calibrated": calibrator is not None}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, IsotonicRegressionModel | None, dict]:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
-    return PipelineModel.load(f"{path}/model"), meta
+    calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if meta["calibrated"] else None
+    return PipelineModel.load(f"{path}/model"), calibrator, meta
