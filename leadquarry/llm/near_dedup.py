@@ -265,12 +265,16 @@ def deduplicate(docs: DataFrame, how: SimHash = NEAR_TEXTS, doc_id: str = "doc_i
         words = [np.array([fingerprint(shingle_hashes(t, how.shingle, how.seed + i)) for i in range(how.words)], np.uint64) for t in texts]
         return pd.Series([w.view(np.int64) for w in words])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), docs[doc_id].cast("long").alias("doc_id"),
-                       F.struct(*[docs[c] for c in docs.columns]).alias("row"), prints_of(docs[text]).alias("fs"))
-    rows = spool(rows.select("row_id", "doc_id", "row", *[F.col("fs")[i].alias(c) for i, c in enumerate(how.columns)]))
-    prints = rows.select("row_id", "doc_id", *how.columns, _hexed(how).alias("fingerprint"))
+    # A row goes by two hashes of all its columns, nulls marked; equal rows share them.
+    parts = [docs[c] for c in docs.columns] + [docs[c].isNull() for c in docs.columns]
+    key = [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("again"), *parts).alias("k2")]
+    prints = docs.select(*key, docs[doc_id].cast("long").alias("doc_id"), prints_of(docs[text]).alias("fs"))
+    prints = spool(prints.select("k1", "k2", "doc_id", *[F.col("fs")[i].alias(c) for i, c in enumerate(how.columns)]))
+    prints = prints.withColumn("fingerprint", _hexed(how))
     rooted = _roots(prints, how)
-    first = prints.select("row_id", "doc_id", "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("first"))
-    kept = spool(first.select("first.row_id"))
-    return rows.join(kept, "row_id", "left_semi").select("row.*")
+    first = prints.select("k1", "k2", "doc_id", "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first"))
+    kept = spool(first.select("first.k1", "first.k2"))
+    # Texts are shuffled once, equal rows combined on the way; the kept keys meet them there.
+    whole = docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return whole.join(kept, ["k1", "k2"], "left_semi").select("row.*")
