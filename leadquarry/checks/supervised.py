@@ -15,6 +15,7 @@ from leadquarry.checks.registry import query
 from leadquarry.operators import evaluate as E
 from leadquarry.operators import supervised as SU
 from leadquarry.operators.sampling import stratified_split
+from leadquarry.plans import supervised_stage
 from leadquarry.session import cut, ensure_checkpoint_dir
 from leadquarry.sources import tables
 
@@ -151,6 +152,18 @@ def scored(spark, sf):
     return out.select("biz_id", "prob_client", "predicted_client")
 
 
+@query("supervised_run_summary")
+def run_summary(spark, sf):
+    """The whole stage with its sinks; the metrics of its summary as rows."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    family = "LogisticRegression"
+    reports = supervised_stage.run(ranked(spark, sf).drop("match_confidence"), folder, lambda weights: {family: SU.model_specs(weights)[family]})
+    facts = [(f"{part}.{k}", float(v)) for part in ("test", "known_customers") for row in reports.summary[part]
+             for k, v in row.items() if isinstance(v, (int, float))]
+    return spark.createDataFrame(facts + [(f"rows.{k}", float(v)) for k, v in reports.summary["rows"].items()], "metric string, value double")
+
+
 @query("permutation_importance")
 def importance(spark, sf):
     result, data = _trained(spark, sf, ["LogisticRegression"])

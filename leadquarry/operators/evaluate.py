@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadquarry.operators.rank import exact_quantiles, grouped_row_numbers, prefix_sums
+from leadquarry.operators.sampling import sample_n
 from leadquarry.session import cut
 
 EPS = 2.220446049250313e-16      # fixed value: clip of log-loss probabilities
@@ -180,6 +181,17 @@ def reliability_bins(preds: DataFrame, n_bins: int = 10) -> DataFrame:
         F.count("*").alias("n"), F.avg("prob").alias("mean_predicted"), F.avg("label").alias("fraction_positive"))
 
 
+def held_out_distribution(scores: DataFrame, train: DataFrame, sampled: int, seed: int | str, id_col: str = "biz_id",
+                          bins: int = 40) -> DataFrame:
+    """Score histograms of the held-out positives and of a sample of the unlabelled rows.
+
+    ``train`` has ``is_holdout`` and ``y_train``; the sample has exactly ``sampled`` rows, or all if fewer."""
+    held = scores.join(train.where("is_holdout").select(id_col), id_col).select("score", F.lit("held_out").alias("part"))
+    rest = scores.join(train.where("y_train = 0 AND NOT is_holdout").select(id_col), id_col)
+    rest = sample_n(rest, sampled, f"distribution:{seed}", id_col).select("score", F.lit("unlabelled").alias("part"))
+    return histogram(cut(held.unionByName(rest)), "part", bins=bins)
+
+
 def histogram(scores: DataFrame, group: str, value: str = "score", bins: int = 40) -> DataFrame:
     """Equal-width density histogram per group, empty bins included."""
     span = scores.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("total"))

@@ -37,7 +37,7 @@ def sample_n(df: DataFrame, n: int, salt: str, id_col: str = "biz_id") -> DataFr
 
 def _cutoff(n: int, total: int) -> str:
     share = (n + 6 * math.sqrt(n) + 10) / total
-    return "g" if share >= 1 else f"{int(share * 16 ** 8):08x}"    # 'g' sorts after every digit
+    return "g" if share >= 1 else f"{int(share * 16 ** 15):015x}"    # 'g' sorts after every digit
 
 
 def holdout_split(df: DataFrame, seed: int | str, label: str = "is_customer", fraction: float = 0.2,

@@ -96,3 +96,11 @@ def test_ids_follow_files_and_lines(spark, tmp_path):
     for multi in (True, False):
         got = tables.read_businesses(spark, f"{tmp_path}/all.csv", multi_line=multi).collect()
         assert sorted((r.biz_id, r.name) for r in got) == [(i, f"b{i}") for i in range(n)]
+
+
+def test_held_out_distribution(spark):
+    from leadquarry.operators.evaluate import held_out_distribution
+    scores = spark.range(500).select(F.col("id").alias("biz_id"), (F.col("id") / 500).alias("score"))
+    train = spark.range(500).select(F.col("id").alias("biz_id"), (F.col("id") % 10 == 0).alias("is_holdout"), (F.col("id") % 10 == 1).cast("int").alias("y_train"))
+    got = held_out_distribution(scores, train, 120, 42, bins=8).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert {r.part: r.n for r in got} == {"held_out": 50, "unlabelled": 120}
