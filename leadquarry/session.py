@@ -67,7 +67,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 #: While a table is written: shuffle files go when the write ends, and Arrow batches stay small.
 WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
