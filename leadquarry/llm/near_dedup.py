@@ -27,14 +27,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadquarry.llm import set_links
 from leadquarry.llm.common import spread
 from leadquarry.llm.graph import components
+from leadquarry.llm.set_links import Jaccard
+from leadquarry.llm.shingles import shingle_hashes
 from leadquarry.session import discard, settings, spool
 
 BUCKET = 4096
@@ -65,22 +66,8 @@ class SimHash:
         return [f"f{i}" for i in range(self.words)]
 
 
-#: Five-word shingles, 128 bits.  Texts with a Jaccard similarity s of their shingles differ in about
-#: 128 * acos(2s / (1 + s)) / pi bits: 19.5 at 0.8; the radius adds half a standard deviation.
-NEAR_TEXTS = SimHash(shingle=5, words=2, radius=22, segment_bits=16)
-
-
-def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
-    """XXH64 of every shingle of the ASCII-lower-cased text, repeats included."""
-    found = (text or "").encode().lower().split()  # bytes split and lower by ASCII rules alone
-    if not found:
-        return np.empty(0, np.uint64)
-    line, size = b" ".join(found), min(shingle, len(found))
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(line[s:e], seed) for s, e in
-                        zip(starts[:len(found) - size + 1].tolist(), ends[size - 1:].tolist())), np.uint64)
+#: Near-duplicate texts: the sets of five-word shingles decide, see ``set_links``.
+NEAR_TEXTS = Jaccard(shingle=5, similarity=0.8)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -246,10 +233,23 @@ def _roots(prints: DataFrame, how: SimHash) -> DataFrame:
         "fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """k1, k2, doc_id, text.  A row goes by two hashes of all its columns, nulls marked; equal rows share them."""
+    return docs.select(*_key(docs), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def _key(docs: DataFrame) -> list:
+    parts = [docs[c] for c in docs.columns] + [docs[c].isNull() for c in docs.columns]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("again"), *parts).alias("k2")]
+
+
+def near_duplicates(docs: DataFrame, how: SimHash | Jaccard = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that links lead to."""
-    prints = spool(fingerprints(docs, how, doc_id, text).withColumn("fingerprint", _hexed(how)))
-    rooted = _roots(prints, how)
+    if isinstance(how, Jaccard):
+        prints, rooted = set_links.roots(_keyed(docs, doc_id, text), how)
+    else:
+        prints = spool(fingerprints(docs, how, doc_id, text).withColumn("fingerprint", _hexed(how)))
+        rooted = _roots(prints, how)
     component = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     # Classes are as many as documents at most; a class with very many copies is one row on this side.
     named = spool(rooted.join(component, "root").select("fingerprint", "component_id"))
@@ -257,24 +257,12 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), doc_id: str = "do
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, how: SimHash = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, how: Jaccard = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id, null ids last."""
-
-    @F.pandas_udf("array<long>")
-    def prints_of(texts: pd.Series) -> pd.Series:
-        words = [np.array([fingerprint(shingle_hashes(t, how.shingle, how.seed + i)) for i in range(how.words)], np.uint64) for t in texts]
-        return pd.Series([w.view(np.int64) for w in words])
-
-    # A row goes by two hashes of all its columns, nulls marked; equal rows share them.
-    parts = [docs[c] for c in docs.columns] + [docs[c].isNull() for c in docs.columns]
-    key = [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("again"), *parts).alias("k2")]
-    prints = docs.select(*key, docs[doc_id].cast("long").alias("doc_id"), prints_of(docs[text]).alias("fs"))
-    prints = spool(prints.select("k1", "k2", "doc_id", *[F.col("fs")[i].alias(c) for i, c in enumerate(how.columns)]))
-    prints = prints.withColumn("fingerprint", _hexed(how))
-    rooted = _roots(prints, how)
-    first = prints.select("k1", "k2", "doc_id", "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
+    prints, rooted = set_links.roots(_keyed(docs, doc_id, text), how)
+    first = prints.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first"))
     kept = spool(first.select("first.k1", "first.k2"))
     # Texts are shuffled once, equal rows combined on the way; the kept keys meet them there.
-    whole = docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    whole = docs.select(*_key(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
     return whole.join(kept, ["k1", "k2"], "left_semi").select("row.*")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from leadquarry.llm import near_dedup, substring_dedup
+from leadquarry.llm import near_dedup, set_links, substring_dedup
 from leadquarry.llm.graph import components
 
 
@@ -148,3 +148,36 @@ def test_repeats_odd_rows(spark, odd, odd_rows, empty):
 
 def test_difference_cover():
     assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(substring_dedup.PERIOD))
+
+
+def shingles_of(text, size=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def by_jaccard(rows, similarity=0.8):
+    sets = [shingles_of(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    return {d: rows[g][0] for (d, _), g in zip(rows, closed(len(rows), links))}
+
+
+@pytest.mark.parametrize("few", [32, 2])
+def test_near_texts_equal_exact_jaccard(spark, make, monkeypatch, few):
+    """Inner words changed so that similarities lie on both sides of 0.8; few=2 sends shared shingles the way of common ones."""
+    monkeypatch.setattr(set_links, "FEW", few)
+    monkeypatch.setattr(set_links, "SAMPLE", 2)
+    rng, rows = random.Random(11), []
+    passage = [f"common{i}" for i in range(30)]
+    for g in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 150, 300]))] + passage * (g % 2)
+        for k in range(6):
+            text = list(base)
+            for at in rng.sample(range(len(text)), max(1, round(len(text) * 0.006 * k))):
+                text[at] = f"new{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(text)))
+    want = by_jaccard(rows)
+    assert 25 < len(set(want.values())) < 130
+    docs = make([(i, t, "a") for i, t in rows])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NEAR_TEXTS).collect()} == want
+    assert {r.doc_id for r in near_dedup.deduplicate(docs).collect()} == set(want.values())
