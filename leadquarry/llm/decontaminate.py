@@ -26,6 +26,8 @@ from leadquarry.session import discard, spool
 
 SHINGLE = 5
 BITS = 64
+#: Sets at a similarity of 0.8 differ in 9.7 bits on average (deviation 2.9); beyond 20 lie about 2 in 10,000.
+RADIUS = 20
 #: Item shingles up to this number are sent to all tasks; more are joined by shuffle.
 BROADCAST_SHINGLES = 2_000_000
 WORDS = r"[\p{L}\p{N}]+"
@@ -63,7 +65,7 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.withColumn("block", F.explode(F.array(*parts)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 11,
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = RADIUS,
                  doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: each document's best window per item it leaks."""
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -213,3 +213,17 @@ def test_leaks_are_found(spark, make, odd, empty):
     assert got[0, 0].start_word == 50 and got[0, 0].similarity == 1 and got[0, 0].n_words == 30
     assert decontaminate.contaminated(empty, bench).collect() == [] == decontaminate.contaminated(odd, bench.limit(0)).collect()
     assert decontaminate.contaminated(odd, bench).collect() == []
+
+
+def test_inner_edits_at_the_threshold_are_found(spark, make):
+    """One inner word changed in items of 49 to 59 words: similarities from 0.80 to 0.83."""
+    rng = random.Random(8)
+    texts = [[f"i{i}w{j}" for j in range(49 + i % 11)] for i in range(220)]
+    docs = []
+    for i, ws in enumerate(texts):
+        at = rng.randrange(4, len(ws) - 4)
+        docs.append((i, " ".join(["before", *ws[:at], "edited", *ws[at + 1:], "after"]), "a"))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(make(docs), bench).collect()}
+    assert set(got) == {(i, i) for i in range(len(texts))}
+    assert all(got[i, i] == pytest.approx((len(ws) - 9) / (len(ws) + 1)) for i, ws in enumerate(texts))
