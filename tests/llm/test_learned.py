@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -227,3 +228,16 @@ def test_inner_edits_at_the_threshold_are_found(spark, make):
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(make(docs), bench).collect()}
     assert set(got) == {(i, i) for i in range(len(texts))}
     assert all(got[i, i] == pytest.approx((len(ws) - 9) / (len(ws) + 1)) for i, ws in enumerate(texts))
+
+
+def test_repeated_items_shared_ids_and_missing_ids(spark, make):
+    words = [f"w{j}" for j in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(words)) for i in range(4)], "item_id long, text string")  # one item under four ids
+    edited = " ".join([*words[:20], "edited", *words[21:]])
+    other = " ".join([f"x{j}" for j in range(50)] + words[:12])
+    rows = [(1, edited, "a"), (2, " ".join(words), "a"), (2, other, "a"), (2, " ".join(words[38:] + words[:12]), "a"), (None, " ".join(words), "b"), (3, other, "a")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(make(rows), bench).collect()}
+    assert got == {(1, i): pytest.approx(41 / 51) for i in range(4)} | {(2, i): 1.0 for i in range(4)}
+    kept = decontaminate.clean(make(rows), bench)
+    assert kept.columns == make(rows).columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((d, t) for d, t, _ in (rows[2], rows[3], rows[5]))
