@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,13 @@ def test_repeated_items_shared_ids_and_missing_ids(spark, make):
     kept = decontaminate.clean(make(rows), bench)
     assert kept.columns == make(rows).columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((d, t) for d, t, _ in (rows[2], rows[3], rows[5]))
+
+
+def test_gradient_steps_take_4096_tokens(monkeypatch):
+    """A text of 3 * 4096 tokens is three steps, however the batches of rows are cut."""
+    sizes, plain = [], language_model._exponentials
+    monkeypatch.setattr(language_model, "_exponentials", lambda w, r: sizes.append(len(r)) or plain(w, r))
+    table = np.zeros((language_model.KINDS * language_model.ROWS, language_model.CLASSES), np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(["word"] * (3 * 4096 - 1))])], ["text"])
+    list(language_model._updates(table, {language_model.END: 0})(iter([batch])))
+    assert sizes == [4096] * 3
