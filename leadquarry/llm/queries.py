@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadquarry.llm import decontaminate, language_model, mixing, near_dedup, pii, quality, sharding, substring_dedup, topk, toxicity
+from leadquarry.llm import decontaminate, language_model, merkle, mixing, near_dedup, pii, quality, sharding, substring_dedup, topk, toxicity
 from leadquarry.llm.common import table
 from leadquarry.llm.labelled import fold
 
@@ -130,3 +130,53 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_model.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+LOWERED = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# DuckDB: unsigned CRC-32 of the decimal form of doc_id, bit by bit.
+SQL_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, xor(c, b)),
+    4294967295), 4294967295)"""
+
+
+def _sql_leaf(text: str) -> str:
+    part = "coalesce(concat(strlen(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR)), '-')"
+    return "sha256(concat(" + ", ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _sql_manifest(depth: int = 9) -> str:
+    """Both trees level by level, ``depth`` levels each (8 ** 9 rows); a group with one node is carried on as it is."""
+    steps = [f"""l AS (SELECT doc_id, lang, {_sql_leaf('text')} AS leaf,
+       CASE WHEN crc % 3 = 0 THEN {_sql_leaf(f"translate(text, '{LOWERED[0]}', '{LOWERED[1]}')")} END AS shown
+  FROM (SELECT *, CRC AS crc FROM documents)),
+a0 AS (SELECT doc_id, lang AS g, leaf, coalesce(shown, leaf) AS f, '' AS proof, leaf AS node,
+       row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l)"""]
+    for tree, first in (("a", 0), ("b", 0)):
+        for i in range(depth):
+            at, nxt = f"{tree}{i}", f"{tree}{i + 1}"
+            steps.append(f"""{at}n AS (SELECT DISTINCT g, pos, node, n FROM {at}),
+{at}r AS (SELECT g, pos // 8 AS run, list(node ORDER BY pos) AS nodes, any_value(n) AS n FROM {at}n GROUP BY g, pos // 8),
+{nxt} AS (SELECT * EXCLUDE (sib, nodes, k) REPLACE (CASE WHEN n = 1 THEN proof ELSE concat(proof, array_to_string(sib, '')) END AS proof,
+              CASE WHEN n = 1 THEN f ELSE sha256(concat(array_to_string(sib[1:k], ''), f, array_to_string(sib[k + 1:], ''))) END AS f,
+              CASE WHEN n = 1 THEN node ELSE sha256(array_to_string(nodes, '')) END AS node, pos // 8 AS pos, (n + 7) // 8 AS n)
+          FROM (SELECT x.*, r.nodes, CAST(x.pos % 8 AS BIGINT) AS k, list_concat(r.nodes[1:x.pos % 8], r.nodes[x.pos % 8 + 2:]) AS sib
+                FROM {at} x JOIN {at}r r ON r.g IS NOT DISTINCT FROM x.g AND r.run = x.pos // 8))""")
+        if tree == "a":
+            steps.append(f"""s AS (SELECT g, any_value(node) AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+      FROM a{depth} GROUP BY g),
+b0 AS (SELECT a.doc_id, 0 AS g, a.leaf, a.f, a.proof, s.subroot AS node, s.pos, s.n, s.subroot
+       FROM a{depth} a JOIN s ON s.g IS NOT DISTINCT FROM a.g)""")
+    return "WITH " + ",\n".join(steps).replace("CRC AS crc", f"{SQL_CRC} AS crc") + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = node AS verified FROM b{depth}"""
+
+
+@query("op11_merkle_manifest", _sql_manifest())
+def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, digest(F.translate("text", *LOWERED)))
+    out = merkle.manifest(docs, digest(F.col("text")), F.col("lang"), F.col("doc_id"), lowered)
+    return out.select(F.col("ord").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"),
+                      "folded_root", "verified")
