@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadquarry.llm import decontaminate, language_model, merkle, mixing, near_dedup, pii, quality, sharding, substring_dedup, topk, toxicity
+from leadquarry.llm import decontaminate, language_model, lexical, merkle, mixing, near_dedup, pii, quality, sharding, substring_dedup, topk, toxicity, warc
 from leadquarry.llm.common import table
 from leadquarry.llm.labelled import fold
 
@@ -180,3 +180,40 @@ def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(docs, digest(F.col("text")), F.col("lang"), F.col("doc_id"), lowered)
     return out.select(F.col("ord").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"),
                       "folded_root", "verified")
+
+
+TERM_CLASS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op12_lexical_search", rf"""
+WITH dt AS (SELECT doc_id, r, unnest(regexp_extract_all(translate(text, '{LOWERED[0]}', '{LOWERED[1]}'), '{TERM_CLASS}')) AS term
+            FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{LOWERED[0]}', '{LOWERED[1]}'), '{TERM_CLASS}')) AS term FROM benchmark),
+tf AS (SELECT doc_id, r, term, CAST(count(*) AS BIGINT) AS tf FROM dt GROUP BY ALL),
+dl AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM dl),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, c GROUP BY term, big_n),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * big_n) // big_l))))) AS BIGINT) AS score
+      FROM it JOIN tf USING (term) JOIN w USING (term) JOIN dl USING (r), c GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def lexical_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op13_warc_archive", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+""")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages)
+    out = warc.resolved(warc.lookup(archive, pages, page_id="page_id"))
+    archive.remove()  # read back by now
+    return out
