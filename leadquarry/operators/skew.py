@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more rows than this part of an even partition; so at most PARTS * partitions keys are heavy.
 PARTS = 4
+#: A key of up to so many rows is never heavy.
+FEW_ROWS = 1000
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
@@ -21,14 +23,16 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], counts: Da
     match nothing and stay where they are.
     """
     on = list(on)
+    total = rows.count()
+    if total <= FEW_ROWS:
+        return rows.join(table, on, "left").select(*rows.columns, *[c for c in table.columns if c not in on])
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.count()
+    least = max(FEW_ROWS, total / (PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     known = F.lit(True)
     for c in on:
         known &= F.col(c).isNotNull()
-    heavy = counts.where(known & (F.col("n") > total / (PARTS * parts))).select(*on)
+    heavy = counts.where(known & (F.col("n") > least)).select(*on)
     extra = [c for c in table.columns if c not in on]
     few = table.join(F.broadcast(heavy), on, "left_semi")
     named = F.broadcast(heavy.join(few, on, "left").withColumn("__hot", F.lit(True)))
