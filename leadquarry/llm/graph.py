@@ -34,6 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         shorter = spool(edges.join(left, "a").join(right, "b").where("ra <> rb").select(
             F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         discard(edges)
+        if step is not total:
+            discard(step)
         edges = shorter
         if edges.isEmpty():
+            discard(edges)
             return total

@@ -246,7 +246,7 @@ def _key(docs: DataFrame) -> list:
 def near_duplicates(docs: DataFrame, how: SimHash | Jaccard = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that links lead to."""
     if isinstance(how, Jaccard):
-        prints, rooted = set_links.roots(_keyed(docs, doc_id, text), how)
+        prints, rooted, _ = set_links.roots(_keyed(docs, doc_id, text), how)
     else:
         prints = spool(fingerprints(docs, how, doc_id, text).withColumn("fingerprint", _hexed(how)))
         rooted = _roots(prints, how)
@@ -259,10 +259,11 @@ def near_duplicates(docs: DataFrame, how: SimHash | Jaccard = SimHash(), doc_id:
 
 def deduplicate(docs: DataFrame, how: Jaccard = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest id, null ids last."""
-    prints, rooted = set_links.roots(_keyed(docs, doc_id, text), how)
+    prints, rooted, held = set_links.roots(_keyed(docs, doc_id, text), how)
     first = prints.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first"))
     kept = spool(first.select("first.k1", "first.k2"))
+    discard(*held)
     # Texts are shuffled once, equal rows combined on the way; the kept keys meet them there.
     whole = docs.select(*_key(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
     return whole.join(kept, ["k1", "k2"], "left_semi").select("row.*")

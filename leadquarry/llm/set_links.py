@@ -1,16 +1,26 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets, found by prefixes.
+"""Near-duplicates by exact Jaccard similarity of shingle sets.
 
-All shingles have one order, rare ones first.  Two sets whose Jaccard similarity reaches s share an
-element among the first ``n - ceil(s * n) + 1`` of each, whatever the order is, so an equality join
-on these prefixes finds every such pair; the whole sets then decide.  Which shingles are common is
-counted on a sample of the distinct texts: the order only decides how many pairs must be looked at.
+Candidates: all shingles have one order, rare ones first.  Two sets whose Jaccard similarity reaches s
+share an element among the first ``n - ceil(s * n) + 1`` of each, whatever the order is, so an equality
+join on these prefixes finds every such pair.  Which shingles are common is counted on a sample of the
+distinct texts: the order only decides how many pairs must be looked at.  A shingle that more than ``FEW``
+classes have in their prefixes is not paired out.  Its classes are indexed by ``BANDS`` keys of ``ROWS``
+smallest permuted hashes each instead (a pair at 0.8 shares none with odds of 8 in a million), which few
+texts have in common that are not alike; a key of more than ``FEW`` classes is worked off in rounds, each
+comparing its classes with the next few of those outside its main component.
 
-Equal sets are one class before anything else happens.  A shingle that more than ``FEW`` classes
-have in their prefixes is not paired out: its classes are compared with the smallest of them, and
-after the links so found are followed, only pairs that still lie in different components are.
+Narrow before wide: pairs are ids alone.  A 256-bit majority fingerprint per class drops the pairs beyond
+``BITS`` bits (a pair at 0.8 lies beyond with odds under 2 in 10 million); then each class is compared with
+its smallest partner, and afterwards only pairs whose ends the links found so far leave apart are compared.
+What is compared is decided by the whole sets; only sets of classes in such pairs are made and shuffled,
+one side at a time, and a class with very many partners is dealt out with copies of its set.
 
-Sets and shingles go by 64-bit hashes: among 10 million sets two differ and share a hash with odds
-of 3 in a million.
+Equal sets are one class before anything else happens.  Sets and shingles go by 64-bit hashes: among 10
+million sets two differ and share a hash with odds of 3 in a million.
+
+Defined results: null and empty texts are one class, the empty set; a text shorter than a shingle is one
+shingle; repeated rows share their class; ties do not matter, a class is named by its hash; very long texts
+are taken whole; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -23,18 +33,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadquarry.llm.graph import components
 from leadquarry.llm.shingles import shingle_hashes
+from leadquarry.operators.skew import lookup_join
 from leadquarry.session import discard, settings, spool
 
-#: Classes that share a prefix shingle are all compared up to this number.
+#: Classes that share a prefix shingle or a band are all compared up to this number; beyond it, so many a round.
 FEW = 32
 #: Common shingles are counted on one text in so many, and at most so many are told to the tasks.
 SAMPLE = 16
 COMMON = 1 << 18
+#: Keys of common shingles' classes, and permuted hashes in a key.
+BANDS, ROWS = 64, 8
+#: Words of the fingerprint, and the bits in which fingerprints of similar sets may differ.
+WORDS, BITS = 4, 80
+#: Partners that a copy of a set serves.
+SERVED = 256
+SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 @dataclass(frozen=True)
@@ -90,12 +108,33 @@ def prefix(hs: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: flo
     return np.concatenate((hs[~known], hs[known][np.argsort(rank[at[known]])]))[:n]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("ha")), "a").join(
-        sets.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
-    both = both.withColumns({"o": F.size(F.array_intersect("ha", "hb")), "n": F.size("ha") + F.size("hb")})
-    return both.where(F.col("o") >= how.similarity * (F.col("n") - F.col("o")) - 1e-9).select("a", "b")
+def _mixed(hs: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    x = hs ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(hs: np.ndarray) -> np.ndarray:
+    """Majority fingerprint of a set, ``WORDS`` words."""
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS if len(hs) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hs), 1 << 14):
+            part = _mixed(hs[at:at + (1 << 14)], w).astype("<u8").view(np.uint8)
+            ones += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(hs), bitorder="little").view("<u8")[0]
+    return out
+
+
+def bands(hs: np.ndarray) -> np.ndarray:
+    """Keys of which two sets share each with the odds of their similarity to the power of ``ROWS``."""
+    least = np.array([_mixed(hs, 1000 + i).min() for i in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        out = _mixed(out ^ least[:, r], r)
+    return out
 
 
 def _sized(how: Jaccard, a: str, b: str):
@@ -103,11 +142,126 @@ def _sized(how: Jaccard, a: str, b: str):
     return F.expr(f"least({a}, {b}) >= {how.similarity} * greatest({a}, {b}) - 1e-9")
 
 
-def roots(keyed: DataFrame, how: Jaccard) -> tuple[DataFrame, DataFrame]:
+def _paired(members: DataFrame, key: str) -> DataFrame:
+    """All pairs a < b of classes that share a key; no key may have many."""
+    lists = members.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("s")).where("size(s) > 1")
+    return lists.select(F.explode(F.expr(
+        "flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _near(pairs: DataFrame, classes: DataFrame, how: Jaccard) -> DataFrame:
+    """The spooled pairs whose sizes and fingerprints let them be similar enough."""
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in SKETCH])
+    half = spool(lookup_join(pairs, side("a"), ["a"]))
+    both = lookup_join(half, side("b"), ["b"])
+    apart = " + ".join(f"bit_count({s}a ^ {s}b)" for s in SKETCH)
+    out = spool(both.where(_sized(how, "na", "nb")).where(f"{apart} <= {BITS}").select("a", "b"))
+    discard(half)
+    return out
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` is read twice."""
+    partners = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    copies = partners.select("a", F.expr(f"n DIV {SERVED}").alias("copies"))
+    dealt = lookup_join(pairs, copies, ["a"], counts=partners).select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("copies") + 1).alias("copy"))
+    served = sets.join(copies, sets.c == copies.a).select("a", F.col("hs").alias("ha"), F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"))
+    both = dealt.join(served, ["a", "copy"]).select("a", "b", "ha").join(sets.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("o"), (F.size("ha") + F.size("hb")).alias("n"))
+    return both.where(F.col("o") >= how.similarity * (F.col("n") - F.col("o")) - 1e-9).select("a", "b")
+
+
+class _Forest:
+    """Verified links and the components that they make."""
+
+    def __init__(self, keyed: DataFrame, classes: DataFrame, how: Jaccard):
+        self.keyed, self.classes, self.how = keyed, classes, how
+        self.led: DataFrame | None = None  # node, root
+
+    def placed(self, rows: DataFrame, c: str, root: str) -> DataFrame:
+        """``rows`` with the root of the class in ``c``."""
+        if self.led is None:
+            return rows.withColumn(root, F.col(c))
+        found = lookup_join(rows, self.led.select(F.col("node").alias(c), F.col("root").alias(root)), [c])
+        return found.withColumn(root, F.coalesce(root, c))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The spooled pairs whose ends no link connects yet."""
+        half = spool(self.placed(pairs, "a", "ra"))
+        out = spool(self.placed(half, "b", "rb").where("ra <> rb").select("a", "b"))
+        discard(half)
+        return out
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """c, hs: the whole sets of the classes in ``wanted``, made from one text each."""
+        how = self.how
+
+        @F.pandas_udf("array<long>")
+        def whole(texts: pd.Series) -> pd.Series:
+            return pd.Series([shingle_set(t, how).view(np.int64) for t in texts])
+
+        reps = self.classes.join(wanted.distinct(), "c", "left_semi").select("c", "k.k1", "k.k2")
+        texts = self.keyed.select("k1", "k2", "text").join(reps, ["k1", "k2"]).groupBy("c").agg(F.first("text").alias("text"))
+        return spool(texts.select("c", whole("text").alias("hs")))
+
+    def link(self, pairs: DataFrame, sets: DataFrame) -> None:
+        """Compare spooled pairs: each class with its smallest partner first, then what is still apart."""
+        first = spool(pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("b")))
+        self._take(_similar(first, sets, self.how))
+        apart = self.apart(pairs)
+        rest = spool(apart.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+        self._take(_similar(rest, sets, self.how))
+        discard(first, apart, rest)
+
+    def _take(self, links: DataFrame) -> None:
+        links = spool(links)
+        if not links.isEmpty():
+            known = links if self.led is None else links.unionByName(self.led.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            led = components(known)
+            if self.led is not None:
+                discard(self.led)
+            self.led = led
+        discard(links)
+
+
+def _work_off(bucket: DataFrame, forest: _Forest, sets: DataFrame) -> None:
+    """Compare the classes of large buckets (y, c), a few classes outside the main component with all others a round."""
+    done = None  # y, upto: the largest class that was compared with its whole bucket
+    while True:
+        placed = spool(forest.placed(bucket, "c", "root"))
+        main = placed.groupBy("y", "root").agg(F.count("*").alias("m")).groupBy("y").agg(
+            F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("y", F.col("x.root").alias("main"))
+        main = spool(main)
+        outside = lookup_join(placed, main, ["y"]).where("main IS NOT NULL AND root <> main")
+        if done is not None:
+            outside = lookup_join(outside.select("y", "c", "root"), done, ["y"]).where("upto IS NULL OR c > upto")
+        next_few = outside.select("y", "c", "root").withColumn(
+            "nth", F.row_number().over(Window.partitionBy("y").orderBy("c"))).where(F.col("nth") <= FEW)
+        few = spool(next_few.groupBy("y").agg(F.collect_list(F.struct("c", "root")).alias("few"), F.max("c").alias("upto")))
+        if few.isEmpty():
+            discard(placed, main, few)
+            break
+        met = lookup_join(placed, few.select("y", "few"), ["y"]).where("few IS NOT NULL").select("c", "root", F.explode("few").alias("p"))
+        met = met.where("p.root <> root").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
+        met = spool(met)
+        pairs = _near(met, forest.classes, forest.how)
+        forest.link(pairs, sets)
+        last = few.select("y", "upto")
+        if done is not None:
+            last = last.unionByName(done.join(few, "y", "left_anti"))
+        last = spool(last)
+        discard(placed, main, few, met, pairs, *([] if done is None else [done]))
+        done = last
+    if done is not None:
+        discard(done)
+
+
+def roots(keyed: DataFrame, how: Jaccard) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """``keyed`` has k1, k2, doc_id, text; rows of equal k1, k2 are equal.
 
-    Returns (k1, k2, doc_id, fingerprint) per row, and (fingerprint, smallest, root) per class: its
-    smallest doc_id and the class its links lead to.
+    Returns (k1, k2, doc_id, fingerprint) per row, (fingerprint, smallest, root) per class: its
+    smallest doc_id and the class its links lead to, and the spooled tables to discard after both.
     """
     common, rank = _common(keyed, how)
 
@@ -117,51 +271,42 @@ def roots(keyed: DataFrame, how: Jaccard) -> tuple[DataFrame, DataFrame]:
         for t in texts:
             hs = shingle_set(t, how)
             head = [xxhash.xxh64_intdigest(hs.astype("<u8").tobytes(), how.seed), len(hs)]
-            out.append(np.concatenate((np.array(head, np.uint64), prefix(hs, common, rank, how.similarity))).view(np.int64))
+            out.append(np.concatenate((np.array(head, np.uint64), sketch(hs), prefix(hs, common, rank, how.similarity))).view(np.int64))
         return pd.Series(out)
 
-    @F.pandas_udf("array<long>")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, how).view(np.int64) for t in texts])
-
-    prints = spool(keyed.select("k1", "k2", "doc_id", described("text").alias("d")))
-    classes = spool(prints.groupBy(F.col("d")[0].alias("c")).agg(
+    full = spool(keyed.select("k1", "k2", "doc_id", described("text").alias("d")))
+    prints = spool(full.select("k1", "k2", "doc_id", F.col("d")[0].alias("c")))
+    whole = spool(full.groupBy(F.col("d")[0].alias("c")).agg(
         F.min("doc_id").alias("smallest"), F.min(F.struct("k1", "k2")).alias("k"), F.first("d").alias("d")))
-    entries = classes.select("c", F.col("d")[1].cast("int").alias("n"), F.explode(F.expr("slice(d, 3, size(d))")).alias("h"))
-    counts = spool(entries.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("first")).where("m > 1"))
-    small = entries.join(counts.where(F.col("m") <= FEW).select("h"), "h").groupBy("h").agg(
-        F.sort_array(F.collect_list(F.struct("c", "n"))).alias("s"))
-    near = small.select(F.explode(F.expr(
-        "flatten(transform(s, (x, i) -> transform(filter(slice(s, i + 2, size(s)), y -> least(x.n, y.n) >= "
-        f"{how.similarity} * greatest(x.n, y.n) - 1e-9), y -> struct(x.c AS a, y.c AS b))))")).alias("p")).select("p.a", "p.b")
-    large = spool(entries.join(counts.where(F.col("m") > FEW).select("h", "first"), "h"))
-    sizes = classes.select(F.col("c").alias("first"), F.col("d")[1].cast("int").alias("first_n"))
-    star = large.where("c <> first").select("first", "c", "n").distinct().join(sizes, "first").where(
-        _sized(how, "n", "first_n")).select(F.col("first").alias("a"), F.col("c").alias("b"))
-    with settings(keyed.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # both sides dealt by shingle
-        pairs = spool(near.unionByName(star).distinct())
-    # Whole sets of the classes in pairs, made again from one text each.
-    used = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(large.select(F.col("c").alias("a"))).distinct()
-    reps = classes.join(used, classes.c == used.a, "left_semi").select("c", "k.k1", "k.k2")
-    sets = spool(keyed.select("k1", "k2", "text").join(reps, ["k1", "k2"]).groupBy("c").agg(
-        F.first("text").alias("text")).select("c", whole("text").alias("hs")))
-    links = spool(_similar(pairs, sets, how))
-    if not large.isEmpty():
-        # Classes of a common shingle outside its main component meet all others there.
-        led = components(links)
-        placed = spool(large.select("h", "c", "n").join(led.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
-        per = placed.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(
-            F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("main.root").alias("main"))
-        open_ = spool(placed.join(per, "h"))
-        outside = open_.where("root <> main").select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        cross = outside.join(open_, "h").where("ra <> root AND (root = main OR a < c)").where(_sized(how, "na", "n"))
-        cross = spool(cross.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        more = spool(_similar(cross, sets, how))
-        links = links.unionByName(more)
-        discard(placed, open_, cross)
-    led = components(links)
+    discard(full)
+    classes = spool(whole.select("c", "smallest", "k", F.col("d")[1].cast("int").alias("n"), *[F.col("d")[i + 2].alias(s) for i, s in enumerate(SKETCH)]))
+    entries = spool(whole.select("c", F.explode(F.expr(f"slice(d, {3 + WORDS}, size(d))")).alias("h")))
+    discard(whole)
+    forest = _Forest(keyed, classes, how)
+    with settings(keyed.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # but for the marked few
+        counts = spool(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+        shared = spool(lookup_join(entries, counts, ["h"], counts=counts.withColumnRenamed("m", "n")).where("m > 1"))
+        discard(entries, counts)
+        raw = spool(_paired(shared.where(F.col("m") <= FEW), "h"))
+        pairs = _near(raw, classes, how)
+        hot = spool(shared.where(F.col("m") > FEW).select("c").distinct())
+        discard(raw, shared)
+        sets = forest.sets(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(hot))
+        forest.link(pairs, sets)
+        if not hot.isEmpty():
+            keys = F.pandas_udf(lambda s: pd.Series([bands(np.asarray(x).view(np.uint64)).view(np.int64) for x in s]), "array<long>")
+            banded = spool(sets.join(hot, "c", "left_semi").select("c", F.explode(keys("hs")).alias("y")))
+            sizes = spool(banded.groupBy("y").agg(F.count("*").alias("m")).where("m > 1"))
+            met = spool(lookup_join(banded, sizes, ["y"], counts=sizes.withColumnRenamed("m", "n")).where("m > 1"))
+            raw = spool(_paired(met.where(F.col("m") <= FEW), "y"))
+            apart = forest.apart(raw)
+            more = _near(apart, classes, how)
+            forest.link(more, sets)
+            _work_off(met.where(F.col("m") > FEW).select("y", "c"), forest, sets)
+            discard(banded, sizes, met, raw, apart, more)
+        discard(pairs, hot, sets)
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    rooted = spool(classes.select("c", "smallest").join(led.withColumnRenamed("node", "c"), "c", "left").select(
-        hexed("c").alias("fingerprint"), "smallest", hexed(F.coalesce("root", "c")).alias("root")))
-    discard(classes, counts, large, pairs, sets)
-    return prints.select("k1", "k2", "doc_id", hexed(F.col("d")[0]).alias("fingerprint")), rooted
+    rooted = spool(forest.placed(classes.select("c", "smallest"), "c", "root").select(
+        hexed("c").alias("fingerprint"), "smallest", hexed("root").alias("root")))
+    discard(classes, *([] if forest.led is None else [forest.led]))
+    return prints.select("k1", "k2", "doc_id", hexed("c").alias("fingerprint")), rooted, [prints, rooted]
