@@ -1,15 +1,16 @@
 """String similarity on Arrow batches: Indel, token-sort and token-set ratios (0..100).
 
 Only the longest-common-subsequence length has no Spark built-in; it runs bit-parallel over
-whole batches of pairs in numpy.  Everything else about the fuzzy join is relational.
+whole batches of pairs in numpy.  Splitting, sorting and comparing words stays in the JVM.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import LongType
 
 
 #: Characters, padding included, that one band of pairs may span.
@@ -74,181 +75,51 @@ def _band_lcs(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def indel_score(dist, total):
+@F.pandas_udf(LongType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two strings; null if either is."""
+    null = a.isna() | b.isna()
+    return pd.Series(lcs_lengths(a.fillna("").tolist(), b.fillna("").tolist()), dtype="Int64").mask(null)
+
+
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _score(distance: Column, total: Column) -> Column:
     """100 minus the normalised distance; two empty strings are equal."""
-    return np.where(total > 0, 100.0 - 100.0 * dist / np.maximum(total, 1), 100.0)
+    return F.when(total > 0, 100.0 - 100.0 * distance / total).otherwise(100.0)
 
 
-@F.pandas_udf(DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
     """Normalised Indel similarity of two strings; null if either is."""
-    a, b, null = _known(a, b)
-    la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
-    common = lcs_lengths(a.tolist(), b.tolist())
-    return pd.Series(indel_score(la + lb - 2 * common, la + lb)).mask(null)
+    a, b = _column(a), _column(b)
+    total = F.length(a) + F.length(b)
+    return F.when(a.isNotNull() & b.isNotNull(), _score(total - 2 * lcs_length(a, b), total))
 
 
-def _known(a: pd.Series, b: pd.Series) -> tuple[pd.Series, pd.Series, pd.Series]:
-    """Both sides with empty strings for nulls, and which pairs have a null."""
-    return a.fillna(""), b.fillna(""), a.isna() | b.isna()
+def words(text: Column) -> Column:
+    """The words of a text between white space."""
+    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
-def _sorted_tokens(s: str) -> str:
-    return " ".join(sorted(s.split()))
+def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
+    """Indel similarity of the alphabetically sorted words; null if either string is."""
+    return indel_ratio(*[F.array_join(F.array_sort(words(_column(x))), " ") for x in (a, b)])
 
 
-@F.pandas_udf(DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Indel similarity of the alphabetically sorted words; null if either string is."""
-    a, b, null = _known(a, b)
-    sa, sb = [_sorted_tokens(x) for x in a], [_sorted_tokens(x) for x in b]
-    total = np.array([len(x) + len(y) for x, y in zip(sa, sb)])
-    return pd.Series(indel_score(total - 2 * lcs_lengths(sa, sb), total)).mask(null)
-
-
-@F.pandas_udf(DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best of: rest against rest, shared words against each full side; 100 for containment; null if
-    either string is."""
-    a, b, null = _known(a, b)
-    rest_a, rest_b, shared = [], [], []
-    for x, y in zip(a, b):
-        tx, ty = set(x.split()), set(y.split())
-        rest_a.append(" ".join(sorted(tx - ty)))
-        rest_b.append(" ".join(sorted(ty - tx)))
-        shared.append(len(" ".join(tx & ty)))
-    la = np.array([len(x) for x in rest_a])
-    lb = np.array([len(x) for x in rest_b])
-    sh = np.array(shared)
-    empty = (a.str.strip() == "").to_numpy() | (b.str.strip() == "").to_numpy()
-    gap = (sh > 0).astype(int)
-    full_a, full_b = sh + gap + la, sh + gap + lb
-    score = indel_score(la + lb - 2 * lcs_lengths(rest_a, rest_b), full_a + full_b)
-    with_a = indel_score(gap + la, sh + full_a)
-    with_b = indel_score(gap + lb, sh + full_b)
-    score = np.where(sh > 0, np.maximum(score, np.maximum(with_a, with_b)), score)
-    score = np.where((sh > 0) & ((la == 0) | (lb == 0)), 100.0, score)
-    return pd.Series(np.where(empty, 0.0, score)).mask(null)
-
-
-N_CLASSES = 32  # letter classes of the histogram bound; any fold of code points is sound
-
-
-class NameBlock:
-    """Word sets, lengths and letter histograms of a block of normalised names."""
-
-    def __init__(self, names: list[str], as_set: bool):
-        self.tokens = [sorted(set(s.split())) if as_set else sorted(s.split()) for s in names]
-        self.text = [" ".join(t) for t in self.tokens]
-        self.length = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.hist = np.zeros((len(names), N_CLASSES), dtype=np.int32)
-        for i, s in enumerate(self.text):
-            codes = np.frombuffer((s + " ").encode("utf-32-le"), dtype=np.uint32) % N_CLASSES
-            self.hist[i] = np.bincount(codes, minlength=N_CLASSES)
-
-
-class Top2:
-    """Running best two rows per query, by score descending then id ascending."""
-
-    NO_ID = int(np.iinfo(np.int64).max)
-
-    def __init__(self, n: int):
-        self.score = np.full((n, 2), -1.0)
-        self.id = np.full((n, 2), self.NO_ID)
-        self.name = np.full((n, 2), None, dtype=object)
-
-    def merge(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, names: np.ndarray) -> None:
-        if not len(q):
-            return
-        touched = np.unique(q)
-        q = np.concatenate([q, np.repeat(touched, 2)])
-        score = np.concatenate([score, self.score[touched].ravel()])
-        ids = np.concatenate([ids, self.id[touched].ravel()])
-        names = np.concatenate([names, self.name[touched].ravel()])
-        order = np.lexsort((ids, -score, q))
-        q, score, ids, names = q[order], score[order], ids[order], names[order]
-        first = np.searchsorted(q, touched, side="left")
-        for slot in (0, 1):
-            self.score[touched, slot] = score[first + slot]
-            self.id[touched, slot] = ids[first + slot]
-            self.name[touched, slot] = names[first + slot]
-
-
-def score_block(queries: NameBlock, vocab: dict, best: Top2, names: pd.DataFrame, as_set: bool) -> None:
-    """Fold one batch of distinct names into ``best``.
-
-    Every pair gets an upper bound from lengths, shared words and letter histograms; only
-    pairs whose bound can still enter a query's best two are scored.  No pair is emitted.
-    """
-    block = NameBlock(names["norm"].tolist(), as_set)
-    nq, nb = len(queries.text), len(block.text)
-    id1 = names["id1"].to_numpy(np.int64)
-    id2 = names["id2"].to_numpy(np.int64)
-    shared = np.zeros(nq * nb)
-    if as_set:
-        flat, weight = [], []
-        for j, tokens in enumerate(block.tokens):
-            for t in tokens:
-                hit = vocab.get(t)
-                if hit is not None:
-                    flat.append(hit * nb + j)
-                    weight.append(np.full(len(hit), len(t) + 1.0))
-        if flat:
-            shared = np.bincount(np.concatenate(flat), np.concatenate(weight), minlength=nq * nb)
-    shared = shared.reshape(nq, nb).astype(np.int64)   # shared words, each with its blank
-    la, lb = queries.length[:, None], block.length[None, :]
-    total = la + lb
-    ra = np.maximum(la - shared, 0)                    # rest lengths: (len+1) - shared - 1
-    rb = np.maximum(lb - shared, 0)
-    has = shared > 0
-    sect = shared - 1
-    known = np.where(has, np.maximum(indel_score(1 + ra, sect + la), indel_score(1 + rb, sect + lb)), 0.0)
-    contained = has & ((shared > la) | (shared > lb))
-    known[contained] = 100.0
-    overlap = np.zeros((nq, nb), dtype=np.int64)
-    for c in range(N_CLASSES):
-        overlap += np.minimum(queries.hist[:, c][:, None], block.hist[:, c][None, :])
-    common = np.clip(overlap - shared - 1, 0, np.minimum(ra, rb))
-    bound = indel_score(ra + rb - 2 * common, total)
-    bound[contained] = 0.0
-    open_pair = bound > known                          # the others are already exact
-    upper = np.maximum(bound, known)
-    floor = np.partition(known, nb - 2, axis=1)[:, nb - 2] if nb > 1 else np.full(nq, -1.0)
-
-    def alive(mask):
-        s2, i2 = best.score[:, 1][:, None], best.id[:, 1][:, None]
-        return mask & ((upper > s2) | ((upper == s2) & (id1[None, :] < i2)))
-
-    def fold(qi, bi, score):
-        norm = names["norm"].to_numpy(object)[bi]
-        twin = id2[bi] != Top2.NO_ID
-        best.merge(np.concatenate([qi, qi[twin]]), np.concatenate([score, score[twin]]),
-                   np.concatenate([id1[bi], id2[bi[twin]]]), np.concatenate([norm, norm[twin]]))
-
-    def score_open(qi, bi):
-        for lo in range(0, len(qi), 100_000):
-            q, b = qi[lo:lo + 100_000], bi[lo:lo + 100_000]
-            left, right = [], []
-            for x, y in zip(q, b):
-                if has[x, y]:
-                    common_words = set(queries.tokens[x]).intersection(block.tokens[y])
-                    left.append(" ".join(t for t in queries.tokens[x] if t not in common_words))
-                    right.append(" ".join(t for t in block.tokens[y] if t not in common_words))
-                else:
-                    left.append(queries.text[x])
-                    right.append(block.text[y])
-            dist = ra[q, b] + rb[q, b] - 2 * lcs_lengths(left, right)
-            fold(q, b, np.maximum(indel_score(dist, total[q, b]), known[q, b]))
-
-    usable = alive((upper >= floor[:, None]) & (la > 0) & (lb > 0))
-    fold(*np.nonzero(usable & ~open_pair), known[usable & ~open_pair])
-    todo = alive(usable & open_pair)
-    # the most promising pairs first: they raise the bar for the rest
-    if nb > 8:
-        promising = np.argpartition(-np.where(todo, upper, -1.0), 8, axis=1)[:, :8]
-        first = np.zeros_like(todo)
-        np.put_along_axis(first, promising, True, axis=1)
-        first &= todo
-        score_open(*np.nonzero(first))
-        todo = alive(todo & ~first)
-    score_open(*np.nonzero(todo))
+def token_set_ratio(a: Column | str, b: Column | str) -> Column:
+    """``set_ratio`` of the words of two strings; null if either is."""
+    return set_ratio(words(_column(a)), words(_column(b)))
+
+
+def set_ratio(a: Column, b: Column) -> Column:
+    """Best of: rest against rest, shared words against each full side; 100 for containment, 0 beside no words."""
+    joined = lambda w: F.array_join(F.array_sort(w), " ")
+    rest_a, rest_b = joined(F.array_except(a, b)), joined(F.array_except(b, a))
+    la, lb, shared = F.length(rest_a), F.length(rest_b), F.length(joined(F.array_intersect(a, b)))
+    gap = F.when(shared > 0, 1).otherwise(0)
+    rest = _score(la + lb - 2 * lcs_length(rest_a, rest_b), 2 * (shared + gap) + la + lb)
+    alone = [_score(gap + x, shared + shared + gap + x) for x in (la, lb)]
+    score = F.when(shared == 0, rest).when((la == 0) | (lb == 0), 100.0).otherwise(F.greatest(rest, *alone))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(score))

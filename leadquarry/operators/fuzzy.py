@@ -1,20 +1,41 @@
-"""Best-two fuzzy name join, equal to scoring every pair but without emitting the pairs."""
+"""Best-two fuzzy name join as Spark joins: equal to scoring every pair, with few pairs scored.
+
+The result holds the second-best score of every query however low, so no blocking key is complete.
+Instead every query gets a *bar*, the second-best score among a few likely names, and a pair is scored
+only if a bound says that it may reach the bar:
+
+* Two sorted word texts of lengths a and b cannot score above ``200 * o / (a + b)``, where o adds up
+  the smaller counts of each letter class.  Names and queries of like length and like counts form
+  *cells*; cells form coarser cells.  Pairs of coarse cells are bounded first, survivors are split into
+  pairs of cells, survivors of these into pairs of names with all letter classes.  The number of cells
+  is set by lengths and letter counts, so it levels off while the tables grow.
+* With ``token_set_ratio`` shared words alone can score ``200 * s / (min(a, b) + s)`` for s letters in
+  them.  A pair belongs to its rarest shared word; what it can share is then at most the query's words
+  that are as frequent, and where that is too little for the bar only short names are left.  Names are
+  keyed by word and length, so a word that a third of all names hold is many keys.
+* A word set inside the other scores 100 and is found by the rarest word.
+
+Names with equal word sets score alike and are one row with their two lowest ids.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadquarry.functions.similarity import NameBlock, Top2, score_block
-from leadquarry.operators.rank import row_numbers
-from leadquarry.session import cut
+from leadquarry.functions.similarity import indel_ratio, set_ratio
+from leadquarry.session import discard, spool
 
-TOP2_SCHEMA = "norm string, score double, biz_id long, match_norm string"
-SCAN_ROWS_PER_TASK = 50_000
-QUERY_CHUNK = 8192   # query names held by each task at once: bounds the broadcast
-BLOCK_CELLS = 2_000_000   # query x name cells bounded at a time inside a task
+#: Letter classes of the pair bound, of a cell and of a coarse cell; folding code points keeps any bound true.
+CLASSES, CELL_CLASSES, COARSE_CLASSES = 32, 8, 4
+#: Steps of the length and of the counts in a cell and in a coarse cell.
+CELL_STEP, COARSE_STEP = 2, 4
+#: Names that set the bar: of each of the rarest words of a query, and then those with the highest bounds.
+SAMPLE_NAMES, SAMPLE_WORDS, SAMPLE_BOUNDS = 16, 3, 64
+#: Two rows of a score that no pair has.
+NO_BAR = -1.0
 
 
 def distinct_names(businesses: DataFrame, norm: str = "norm") -> DataFrame:
@@ -30,48 +51,90 @@ def distinct_names(businesses: DataFrame, norm: str = "norm") -> DataFrame:
         F.min("biz_id").alias("id1"), F.min(F.when(F.col("place") == 2, F.col("biz_id"))).alias("id2"))
 
 
+def _sum(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _words(as_set: bool) -> Column:
+    words = F.split("norm", " ")
+    return F.array_sort(F.array_distinct(words) if as_set else words)
+
+
+def _described(df: DataFrame, as_set: bool, side: str) -> DataFrame:
+    """``df`` with <side>words, <side>text, <side>l, the letter counts <side>0.., and keys of its cells."""
+    out = df.withColumn(f"{side}words", _words(as_set)).withColumn(f"{side}text", F.array_join(f"{side}words", " "))
+    out = out.withColumn(f"{side}l", F.length(f"{side}text"))
+    codes = F.transform(F.filter(F.split(f"{side}text", ""), lambda ch: ch != ""), lambda ch: F.pmod(F.ascii(ch), F.lit(CLASSES)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.size(F.filter("codes", lambda x: x == c)))
+    out = out.withColumn("codes", codes).withColumn("counts", counts)
+    out = out.select("*", *[F.col("counts")[c].alias(f"{side}{c}") for c in range(CLASSES)]).drop("codes", "counts")
+    out = out.withColumn(f"{side}coarse", _cell(side, COARSE_CLASSES, COARSE_STEP))
+    # counts rounded in fine steps do not settle those in coarse ones, so a cell names its coarse cell
+    out = out.withColumn(f"{side}cell", _cell(side, CELL_CLASSES, CELL_STEP).withField("up", F.col(f"{side}coarse")))
+    out = out.withColumn(f"{side}k", F.xxhash64(f"{side}cell"))  # a shared hash adds pairs to bound, no more
+    return out.withColumns({x: c for x, c in _marks(side)}).drop(*[f"{side}{c}" for c in range(CLASSES)])
+
+
+def _marks(side: str) -> list[tuple[str, Column]]:
+    """Counts as marks: as many low bits of a class's eight as the count, and in <side>o what is beyond eight."""
+    out = []
+    for w in range(CLASSES // 8):
+        bits = [F.expr(f"shiftleft(shiftleft(1L, least({side}{8 * w + k}, 8)) - 1L, {8 * k})") for k in range(8)]
+        out.append((f"{side}m{w}", reduce(lambda a, b: a.bitwiseOR(b), bits)))
+    return [*out, (f"{side}o", _sum([F.greatest(F.col(f"{side}{c}") - 8, F.lit(0)) for c in range(CLASSES)]))]
+
+
+def _folded(side: str, classes: int) -> list[Column]:
+    """Letter counts in fewer classes."""
+    return [_sum([F.col(f"{side}{c}") for c in range(CLASSES) if c % classes == k]) for k in range(classes)]
+
+
+def _cell(side: str, classes: int, step: int) -> Column:
+    """Length and counts rounded down: l, c0.. in units of ``step``."""
+    down = lambda c: F.floor(c / step).cast("int")
+    return F.struct(down(F.col(f"{side}l")).alias("l"), *[down(c).alias(f"c{k}") for k, c in enumerate(_folded(side, classes))])
+
+
+def _cell_bound(q: str, n: str, classes: int, step: int) -> Column:
+    """No two texts of these cells score above this."""
+    overlap = _sum([F.least(F.col(f"{q}.c{k}"), F.col(f"{n}.c{k}")) * step + (step - 1) for k in range(classes)])
+    short = F.least(F.col(f"{q}.l"), F.col(f"{n}.l")) * step + (step - 1)
+    return 200.0 * F.least(overlap, short) / F.greatest((F.col(f"{q}.l") + F.col(f"{n}.l")) * step, F.lit(1))
+
+
+def _pair_bound() -> Column:
+    shared = [F.bit_count(F.col(f"qm{w}").bitwiseAND(F.col(f"nm{w}"))) for w in range(CLASSES // 8)]
+    overlap = _sum([*shared, F.least("qo", "no")])
+    return 200.0 * overlap / (F.col("ql") + F.col("nl"))
+
+
+def _reaches(bound: Column) -> Column:
+    """Whether a bound may reach the bar; equal scores count, as the lower id wins them."""
+    return bound >= F.col("bar") - 1e-6
+
+
 def contained_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs whose word sets contain one another (score 100) as ``norm, biz_id, match_norm``.
+    """Pairs (q, n) of word sets that contain one another.
 
-    Each set is keyed by its rarest word only: a contained set must hand its rarest word to
-    the other side.  Sets that consist of frequent words alone are few once names are distinct.
+    Each set is keyed by its rarest word only: a contained set must hand its rarest word to the other
+    side.  Sets that consist of frequent words alone are few once sets are distinct.
     """
-    words = names.select(
-        "norm", "id1", "id2", F.array_distinct(F.split("norm", " ")).alias("words")
-    )
-    exploded = words.select("norm", F.explode("words").alias("word"))
-    q_words = queries.select("norm", F.array_distinct(F.split("norm", " ")).alias("words"))
-    q_exploded = q_words.select("norm", F.explode("words").alias("word"))
-    wanted = q_exploded.select("word").distinct()
-    freq = exploded.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-
-    def keyed(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    n_words = names.select("n", "nwords", F.explode("nwords").alias("word"))
+    q_words = queries.select("q", "qwords", F.explode("qwords").alias("word"))
+    wanted = q_words.select("word").distinct()
+    freq = spool(n_words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df")))
+
+    def keyed(parts: DataFrame, key: str, words: str) -> DataFrame:
         # sets with a word unknown to the other side cannot be contained in it
-        rare = (
-            parts.join(freq, "word").groupBy("norm")
-            .agg(F.min(F.struct("df", "word")).alias("r"), F.count("*").alias("known"))
-        )
-        return (
-            whole.join(rare, "norm").where(F.col("known") == F.size("words"))
-            .withColumn("word", F.col("r.word")).drop("r", "known")
-        )
-
-    # a name inside a query: the name offers its rarest word, the query all of its words
-    inner_names = keyed(exploded.join(wanted, "word", "left_semi"), words).withColumnRenamed("norm", "match_norm")
-    forward = (
-        inner_names.join(q_exploded.join(q_words, "norm").withColumnRenamed("words", "q_words"), "word")
-        .where(F.size(F.array_except("words", "q_words")) == 0)
-    )
-    # a query inside a name
-    inner_q = keyed(q_exploded, q_words).withColumnRenamed("words", "q_words")
-    backward = (
-        words.withColumnRenamed("norm", "match_norm").withColumn("word", F.explode("words"))
-        .join(inner_q, "word")
-        # equal sets were found above; leaving them out keeps pairs unique without a distinct
-        .where((F.size("words") > F.size("q_words")) & (F.size(F.array_except("q_words", "words")) == 0))
-    )
-    cols = ["norm", "match_norm", "id1", "id2"]
-    return forward.select(*cols).unionByName(backward.select(*cols))
+        rare = parts.join(freq, "word").groupBy(key).agg(
+            F.min(F.struct("df", "word")).alias("r"), F.count("*").alias("known"), F.first(words).alias(words))
+        return rare.where(F.col("known") == F.size(words)).select(key, words, F.col("r.word").alias("word"))
+
+    inside = keyed(n_words, "n", "nwords").join(q_words, "word").where(F.size(F.array_except("nwords", "qwords")) == 0)
+    # equal sets were found above; leaving them out keeps pairs unique without a distinct
+    around = n_words.join(keyed(q_words, "q", "qwords"), "word").where(
+        (F.size("nwords") > F.size("qwords")) & (F.size(F.array_except("qwords", "nwords")) == 0))
+    return inside.select("q", "n").unionByName(around.select("q", "n"))
 
 
 def _best_two(rows: DataFrame) -> DataFrame:
@@ -80,73 +143,144 @@ def _best_two(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 2")
 
 
-def _scan(names: DataFrame, queries: list[str], as_set: bool, floor: float) -> DataFrame:
-    """One pass over the names against one chunk of queries; each task returns its best two."""
-    probe = NameBlock(queries, as_set)
-    vocab: dict[str, list[int]] = {}
-    for i, tokens in enumerate(probe.tokens):
-        for t in set(tokens):
-            vocab.setdefault(t, []).append(i)
-    shared = names.sparkSession.sparkContext.broadcast(
-        (probe, {t: np.array(v) for t, v in vocab.items()}, queries)
-    )
-
-    def best_of_partition(batches):
-        probe, vocab, texts = shared.value
-        best = Top2(len(texts))
-        best.score[:] = floor
-        rows = max(64, BLOCK_CELLS // len(texts))
-        for pdf in batches:
-            for lo in range(0, len(pdf), rows):
-                score_block(probe, vocab, best, pdf.iloc[lo:lo + rows].reset_index(drop=True), as_set)
-        q, slot = np.nonzero(best.id != Top2.NO_ID)
-        yield pd.DataFrame({
-            "norm": np.array(texts, dtype=object)[q], "score": best.score[q, slot],
-            "biz_id": best.id[q, slot], "match_norm": best.name[q, slot],
-        })
-
-    ids = names.select("norm", "id1", F.coalesce("id2", F.lit(Top2.NO_ID)).alias("id2"))
-    return ids.mapInPandas(best_of_partition, TOP2_SCHEMA)
+def _scored(pairs: DataFrame, queries: DataFrame, names: DataFrame, as_set: bool) -> DataFrame:
+    """q, score and ids of distinct pairs (q, n)."""
+    both = pairs.join(queries.select("q", "qwords", "qtext"), "q").join(names.select("n", "nwords", "ntext", "ids"), "n")
+    score = set_ratio(F.col("qwords"), F.col("nwords")) if as_set else indel_ratio("qtext", "ntext")
+    return both.select("q", score.alias("score"), "ids")
+
+
+def _rows(scored: DataFrame) -> DataFrame:
+    return scored.select("q", "score", F.explode("ids").alias("i")).select("q", "score", "i.biz_id", "i.match_norm")
+
+
+def _word_lists(names: DataFrame) -> DataFrame:
+    """word, n, nl: one row per word of a name."""
+    return names.select(F.explode("nwords").alias("word"), "n", "nl")
+
+
+def _coarse(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """All pairs of coarse cells with their bound; their number is set by lengths and letters, not by the tables."""
+    q, n = queries.select("qcoarse").distinct(), names.select("ncoarse").distinct()
+    bound = _cell_bound("qcoarse", "ncoarse", COARSE_CLASSES, COARSE_STEP)
+    return q.join(n, bound >= 0).withColumn("bound", bound)
+
+
+def _split(coarse: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs of cells (qk, nk) of pairs of coarse cells, with their bound."""
+    q, n = queries.select("qcoarse", "qcell", "qk").distinct(), names.select("ncoarse", "ncell", "nk").distinct()
+    pairs = coarse.select("qcoarse", "ncoarse").join(q, "qcoarse").join(n, "ncoarse")
+    return pairs.select("qk", "nk", _cell_bound("qcell", "ncell", CELL_CLASSES, CELL_STEP).alias("bound"))
+
+
+def _rare_words(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """A few names (q, n) that hold the rarest words of a query: they set a first bar and decide nothing else."""
+    some = F.row_number().over(Window.partitionBy("word").orderBy("nl", "n"))
+    lists = _word_lists(names).withColumn("nth", some).where(F.col("nth") <= SAMPLE_NAMES)
+    df = _word_lists(names).groupBy("word").agg(F.count("*").alias("df"))
+    rare = queries.select("q", F.explode("qwords").alias("word")).join(df, "word").withColumn(
+        "place", F.row_number().over(Window.partitionBy("q").orderBy("df", "word"))).where(F.col("place") <= SAMPLE_WORDS)
+    return rare.select("q", "word").join(lists, "word").select("q", "n").distinct()
+
+
+def _by_words(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (q, n) whose shared words alone may reach the bar; ``queries`` has the bar."""
+    lists = _word_lists(names)
+    df = lists.groupBy("word").agg(F.count("*").alias("df"))
+    words = queries.select("q", "ql", "bar", F.explode("qwords").alias("word")).join(df, "word")
+    # A pair whose rarest shared word this is shares at most the words that are as frequent.
+    upto = Window.partitionBy("q").orderBy(F.desc("df"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("s", F.sum(F.length("word") + 1).over(upto) - 1)
+    free = words.where(_reaches(200.0 * F.col("s") / (F.col("ql") + F.col("s"))))
+    # The others reach the bar beside short names only.
+    longest = F.floor(F.col("s") * (200.0 - F.col("bar") + 1e-6) / (F.col("bar") - 1e-6)).cast("int")
+    short = words.where(~_reaches(200.0 * F.col("s") / (F.col("ql") + F.col("s")))).withColumn("longest", longest).where(
+        F.col("longest") >= F.length("word")).select("q", "word", F.explode(F.sequence(F.length("word"), "longest")).alias("nl"))
+    return free.join(lists, "word").select("q", "n").unionByName(short.join(lists, ["word", "nl"]).select("q", "n")).distinct()
+
+
+def _by_letters(queries: DataFrame, names: DataFrame, coarse: DataFrame) -> DataFrame:
+    """Pairs (q, n, bound) whose letters may reach the bar: coarse cells, then cells, then names."""
+    def opened(pairs: DataFrame, q: str) -> DataFrame:
+        bars = queries.groupBy(q).agg(F.min("bar").alias("bar"))
+        return pairs.join(bars, q).where(_reaches(F.col("bound")))
+    open_cells = opened(_split(opened(coarse, "qcoarse"), queries, names), "qk").select("qk", "nk")
+    letters = lambda side: [f"{side}l", f"{side}o", *[f"{side}m{w}" for w in range(CLASSES // 8)]]
+    pairs = open_cells.join(queries.select("qk", "q", "bar", *letters("q")), "qk").join(
+        names.select("nk", "n", *letters("n")), "nk")
+    return pairs.withColumn("bound", _pair_bound()).where(_reaches(F.col("bound"))).select("q", "n", "bound")
+
+
+def _highest(bounded: DataFrame) -> DataFrame:
+    """Per query the level that at least ``SAMPLE_BOUNDS`` bounds reach, or all: (q, level)."""
+    counts = bounded.groupBy("q", F.floor("bound").cast("int").alias("level")).agg(F.count("*").alias("n"))  # 101 levels
+    above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("level")))
+    return counts.withColumn("above", above).groupBy("q").agg(
+        F.coalesce(F.max(F.when(F.col("above") >= SAMPLE_BOUNDS, F.col("level"))), F.min("level")).alias("level"))
+
+
+def _barred(queries: DataFrame, seen: DataFrame, least: float) -> DataFrame:
+    """``queries`` with the bar that the scored rows (q, score, biz_id) set."""
+    second = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "biz_id"))
+    bars = seen.withColumn("place", second).where("place <= 2").groupBy("q").agg(
+        F.when((F.count("*") == 2) & (F.min("score") > 1), F.min("score")).otherwise(NO_BAR).alias("bar"))
+    return spool(queries.drop("bar").join(bars, "q", "left").withColumn(
+        "bar", F.greatest(F.coalesce("bar", F.lit(NO_BAR)), F.lit(least))))
+
+
+def candidates(queries: DataFrame, names: DataFrame, as_set: bool, score_floor: float = NO_BAR) -> DataFrame:
+    """Distinct pairs (q, n) among which are the best two of every query; both sides as ``prepared`` makes them."""
+    coarse = spool(_coarse(queries, names))
+    score = lambda pairs: spool(_rows(_scored(pairs, queries, names, as_set)))
+    first = score(_rare_words(queries, names) if as_set else queries.select("q", F.lit(0).cast("long").alias("n")).where("false"))
+    barred = _barred(queries, first, score_floor)
+    level = spool(_highest(_by_letters(barred, names, coarse)))
+    high = _by_letters(barred, names, coarse).join(level, "q").where(F.col("bound") >= F.col("level")).select("q", "n")
+    second = score(high)
+    best = _barred(queries, first.unionByName(second).distinct(), score_floor)
+    discard(first, barred, level, second)
+    out = _by_letters(best, names, coarse).select("q", "n")
+    if as_set:
+        # A query without a bar is compared with all names anyway.
+        out = out.unionByName(_by_words(best.where(F.col("bar") > 0), names)).distinct()
+    out = spool(out)
+    discard(coarse, best)
+    return out
+
+
+def prepared(queries: DataFrame, names: DataFrame, as_set: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries by number q, and names by word set n with their two lowest ids."""
+    queries = spool(_described(queries.select("norm"), as_set, "q").withColumn("q", F.xxhash64("norm")))
+    rows = names.withColumn("words", F.array_join(_words(as_set), " ")).select(
+        "words", "norm", F.explode(F.filter(F.array("id1", "id2"), lambda i: i.isNotNull())).alias("biz_id"))
+    place = F.row_number().over(Window.partitionBy("words").orderBy("biz_id"))
+    first_two = rows.withColumn("place", place).where(F.col("place") <= 2)
+    sets = first_two.groupBy(F.col("words").alias("norm")).agg(
+        F.sort_array(F.collect_list(F.struct("biz_id", F.col("norm").alias("match_norm")))).alias("ids"))
+    return queries, spool(_described(sets, as_set, "n").withColumn("n", F.xxhash64("norm")).drop("norm"))
 
 
 def fuzzy_top2(queries: DataFrame, names: DataFrame, scorer: str = "token_set_ratio",
-               score_floor: float = -1.0) -> DataFrame:
+               score_floor: float = NO_BAR) -> DataFrame:
     """Best two business rows per query name: ``norm, place, score, biz_id, match_norm``.
 
     ``queries`` has one ``norm`` column of distinct non-empty names; ``names`` comes from
-    :func:`distinct_names`.  Word containment is settled by equi-joins.  What is left has no
-    selective key (the second-best score of an unrelated name is still part of the result), so
-    the names are scanned once per chunk of ``QUERY_CHUNK`` open queries.  A scan shuffles
-    nothing, is even by construction, and prunes by bounds.  ``score_floor`` lets callers that
-    ignore low scores prune harder; the default keeps every result.
+    :func:`distinct_names`.  ``score_floor`` lets callers that ignore low scores prune harder; the
+    default keeps every result.
     """
     as_set = scorer == "token_set_ratio"
-    names, queries = cut(names), cut(queries.select("norm"))   # each is read several times below
-    # the scan is bound by CPU, not by bytes: spread it wider than size-based coalescing would
-    spark = names.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, names.count() // SCAN_ROWS_PER_TASK)
-    spread = names.repartition(tasks, "norm")
-    parts = []
+    queries, names = prepared(queries, names, as_set)
+    open_, settled = queries, None
     if as_set:
-        hits = contained_matches(queries, names)
-        rows = hits.select(
-            "norm", F.lit(100.0).alias("score"),
-            F.explode(F.filter(F.array("id1", "id2"), lambda i: i.isNotNull())).alias("biz_id"),
-            "match_norm",
-        )
-        settled = cut(_best_two(rows))
+        hits = contained_matches(queries, names).join(names.select("n", "ids"), "n").select("q", F.lit(100.0).alias("score"), "ids")
+        settled = spool(_best_two(_rows(hits).withColumnRenamed("q", "norm")))
+        open_ = spool(queries.join(settled.where("place = 2").select(F.col("norm").alias("q")), "q", "left_anti"))
+    pairs = candidates(open_, names, as_set, score_floor)
+    scored = spool(_rows(_scored(pairs, open_, names, as_set)).where(F.col("score") > score_floor))
+    discard(pairs)
+    best = _best_two(scored.withColumnRenamed("q", "norm"))
+    if settled is not None:
         done = settled.where("place = 2").select("norm")
-        parts.append(settled.join(done, "norm", "left_semi"))
-        queries = queries.join(done, "norm", "left_anti")
-    numbered = cut(row_numbers(queries.select("norm"), [F.asc("norm")], "n"))
-    n_open = numbered.count()
-    for lo in range(0, n_open, QUERY_CHUNK):
-        chunk = numbered.where(F.col("n").between(lo + 1, lo + QUERY_CHUNK)).select("norm")
-        texts = [r.norm for r in chunk.toLocalIterator()]
-        parts.append(_best_two(_scan(spread, texts, as_set, score_floor)))
-    if not parts:
-        return _best_two(numbered.sparkSession.createDataFrame([], TOP2_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        best = best.unionByName(settled.join(done, "norm", "left_semi"))
+    return best.withColumnRenamed("norm", "q").join(queries.select("q", "norm"), "q").select(
+        "norm", "place", "score", "biz_id", "match_norm")

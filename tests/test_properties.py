@@ -49,10 +49,9 @@ def name(rng, extra=()):
     return " ".join(rng.choice([*WORDS, *extra]) for _ in range(rng.randint(1, 4)))
 
 
-@pytest.mark.parametrize("scorer,chunk", [("token_set_ratio", 8192), ("token_set_ratio", 7), ("token_sort_ratio", 8192)])
-def test_fuzzy_join_equals_all_pairs(spark, monkeypatch, scorer, chunk):
+@pytest.mark.parametrize("scorer", ["token_set_ratio", "token_sort_ratio"])
+def test_fuzzy_join_equals_all_pairs(spark, scorer):
     """A third of the rows share one name, names share hot words, and a query shares no letter."""
-    monkeypatch.setattr(fuzzy, "QUERY_CHUNK", chunk)
     rng = random.Random(5)
     pool = list({name(rng) for _ in range(120)})
     rows = [(i, rng.choice(pool) if i % 3 else "grand hotel") for i in range(240)]
@@ -71,6 +70,19 @@ def test_fuzzy_join_equals_all_pairs(spark, monkeypatch, scorer, chunk):
     assert {q: [v[1], v[2]] for q, v in got.items()} == want
 
 
+def test_few_pairs_are_scored(spark):
+    """A third of all names hold one word; the bounds leave a small part of all pairs to score."""
+    rng = random.Random(8)
+    sound = lambda: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
+    stock = [sound() for _ in range(2500)]
+    rows = [(i, " ".join([*(["societe"] if i % 3 == 0 else []), *rng.sample(stock, rng.randint(1, 3))])) for i in range(4000)]
+    asked = [" ".join([*(["societe"] if i % 3 == 0 else []), *rng.sample(stock, 2)]) for i in range(200)]
+    names = fuzzy.distinct_names(spark.createDataFrame(rows, "biz_id long, norm string"))
+    queries, sets = fuzzy.prepared(spark.createDataFrame([(q,) for q in set(asked)], "norm string"), names, True)
+    pairs = fuzzy.candidates(queries, sets, True)
+    assert pairs.count() == pairs.distinct().count() < 0.1 * queries.count() * sets.count()
+
+
 def haversine(p, q):
     dp, dl = math.radians(q[0] - p[0]) / 2, math.radians(q[1] - p[1]) / 2
     h = math.sin(dp) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(dl) ** 2
