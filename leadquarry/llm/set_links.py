@@ -41,8 +41,10 @@ from leadquarry.llm.shingles import shingle_hashes
 from leadquarry.operators.skew import lookup_join
 from leadquarry.session import discard, settings, spool
 
-#: Classes that share a prefix shingle or a band are all compared up to this number; beyond it, so many a round.
+#: Classes that share a prefix shingle or a band are all compared up to this number.
 FEW = 32
+#: Beyond it, so many classes of a band are compared with all others a round.
+PIVOTS = 256
 #: Common shingles are counted on one text in so many, and at most so many are told to the tasks.
 SAMPLE = 16
 COMMON = 1 << 18
@@ -237,7 +239,7 @@ def _work_off(bucket: DataFrame, forest: _Forest, sets: DataFrame) -> None:
         if done is not None:
             outside = lookup_join(outside.select("y", "c", "root"), done, ["y"]).where("upto IS NULL OR c > upto")
         next_few = outside.select("y", "c", "root").withColumn(
-            "nth", F.row_number().over(Window.partitionBy("y").orderBy("c"))).where(F.col("nth") <= FEW)
+            "nth", F.row_number().over(Window.partitionBy("y").orderBy("c"))).where(F.col("nth") <= PIVOTS)
         few = spool(next_few.groupBy("y").agg(F.collect_list(F.struct("c", "root")).alias("few"), F.max("c").alias("upto")))
         if few.isEmpty():
             discard(placed, main, few)
