@@ -11,6 +11,7 @@ from leadquarry.checks import sqltext as S
 from leadquarry.checks.features import _SCALARS, labeled, rounded
 from leadquarry.checks.ranking import DOCS, SCORES, docs, long_scores
 from leadquarry.checks.registry import query
+from leadquarry.operators import attribution
 from leadquarry.operators import calibrate as C
 from leadquarry.operators import evaluate as E
 from leadquarry.operators import features as FT
@@ -254,6 +255,28 @@ def boosted(spark, sf):
     return pu.bagging(prepared, train, rounds=2)[0]
 
 
+def _attributed(spark, sf):
+    """Published boosted trees on all labels, and the attributions of every row."""
+    _, prepared, train = setup(spark, sf, LE.TreesOrLinear(LE.boosted_trees))
+    model = prepared._fit(train.select("biz_id", F.col("y_train").alias("y"), F.lit(1.0).alias("w")), 42)
+    attrs = prepared.vectors.schema["features"].metadata["ml_attr"]["attrs"]
+    names = [a["name"] for a in sorted((a for g in attrs.values() for a in g), key=lambda a: a["idx"])]
+    return attribution.attributions(model, prepared.vectors), names
+
+
+@query("tree_attributions")
+def tree_attributions(spark, sf):
+    rows, names = _attributed(spark, sf)
+    named = F.array(*[F.lit(n) for n in names])
+    return rows.select("biz_id", "base", "score", F.posexplode("attribution").alias("slot", "attribution")).select(
+        "biz_id", "base", "score", named[F.col("slot")].alias("feature"), "attribution")
+
+
+@query("tree_attribution_summary")
+def tree_attribution_summary(spark, sf):
+    return attribution.attribution_summary(*_attributed(spark, sf))
+
+
 @query("logistic_two_step")
 def logistic(spark, sf):
     from leadquarry.operators.rank import exact_quantiles
