@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,6 +159,31 @@ def test_ensemble_ignores_monotone_transforms(spark):
     assert sorted(rank.ensemble(s).collect()) == sorted(rank.ensemble(t).collect())
 
 
+@pytest.mark.parametrize("one", [10_000, 0])
+def test_isotonic_fit_by_ranges_equals_one_pass(spark, monkeypatch, one):
+    """A distinct score per row, long violating stretches across borders, ties, and scores outside the fit."""
+    monkeypatch.setattr(calibrate, "ONE_RANGE", one)
+    rng = random.Random(6)
+    data = [(i / 1000, float(rng.random() < (0.2 if 300 < i < 700 else i / 1000))) for i in range(1000)] + [(0.5, 1.0)] * 50
+    means = {}
+    for s, y in data:
+        means.setdefault(s, []).append(y)
+    stack = []
+    for s in sorted(means):
+        stack.append([s, s, len(means[s]), sum(means[s])])
+        while len(stack) > 1 and stack[-2][3] * stack[-1][2] >= stack[-1][3] * stack[-2][2]:
+            _, hi, w, wy = stack.pop()
+            stack[-1][1:] = [hi, stack[-1][2] + w, stack[-1][3] + wy]
+    xs = [x for lo, hi, *_ in stack for x in ((lo, hi) if hi > lo else (lo,))]
+    ys = [wy / w for lo, hi, w, wy in stack for _ in ((lo, hi) if hi > lo else (lo,))]
+    asked = [-1.0, 2.0, *[i / 777 for i in range(800)], *[s for s, _ in data]]
+    rows = spark.createDataFrame(data, "score double, label double").repartition(3)
+    probe = spark.createDataFrame([(i, s) for i, s in enumerate(asked)] + [(-1, None)], "id long, score double")
+    got = {r.id: r.calibrated for r in calibrate.isotonic(probe, rows, parts=7).collect()}
+    assert got.pop(-1) is None and len(got) == len(asked)
+    assert [got[i] for i in range(len(asked))] == pytest.approx(list(np.interp(asked, xs, ys)))
+
+
 def test_isotonic_example(spark):
     rows = spark.createDataFrame([(.1, 0.), (.2, 1.), (.2, 0.), (.3, 0.), (.5, 1.)], "score double, label double")
     probe = spark.createDataFrame([(0.0,), (.25,), (.4,), (.9,)], "score double")
