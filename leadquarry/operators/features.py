@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadquarry.functions import features as X
+from leadquarry.operators.skew import lookup_join
 from leadquarry.operators.rank import exact_quantiles
 from leadquarry.operators.spatial import competitor_density, customer_proximity
 from leadquarry.session import cut
@@ -89,18 +90,20 @@ def group_sizes(df: DataFrame, sizes: dict[str, str], id_col: str = "biz_id") ->
     """Frequencies of a row's values, for several columns (column -> name of its frequency) at once.
 
     All columns are counted in one pass with map-side combine.  A counted small table is sent to
-    the rows; with more groups the rows are joined by value, missing values spread over keys that
-    match nothing.  A missing value has no frequency."""
+    the rows; with more groups heavy values meet their rows by broadcast and only the others are
+    joined by value.  A missing value has no frequency."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in sizes])).alias("x")).select("x.*")
     counts = cut(long.where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n")))
     few = counts.count() <= BROADCAST_GROUPS
     for c, out in sizes.items():
-        own = counts.where(F.col("c") == c).select(F.col("v").alias("__v"), F.col("n").alias(out))
-        key = F.col(c).cast("string")
-        if not few:
-            key = F.coalesce(key, F.concat(F.lit("\u0000"), (F.xxhash64(id_col) % 1024).cast("string")))
-        df = df.withColumn("__k", key).join(F.broadcast(own) if few else own, F.col("__k") == F.col("__v"), "left").drop("__k", "__v")
+        own = counts.where(F.col("c") == c).select(F.col("v").alias("__k"), F.col("n").alias(out))
+        df = df.withColumn("__k", F.col(c).cast("string"))
+        if few:
+            df = df.join(F.broadcast(own), "__k", "left")
+        else:
+            df = lookup_join(df, own, ["__k"], own.withColumnRenamed(out, "n"))
+        df = df.drop("__k")
     return df
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadquarry.operators.skew import lookup_join
 from leadquarry.session import cut
 
 #: Group tables up to this number of rows are sent to all tasks; larger ones are joined by shuffle.
@@ -95,9 +96,10 @@ def ensemble(scores: DataFrame, weights: dict[str, float] | None = None, id_col:
     row that no method scores has a null score.
     ``weights`` maps a method to its weight (normalised here); absent means equal weights.
     """
-    ids, scores = scores, scores.where(F.col("score").isNotNull())
-    ranks = average_ranks(scores)
-    per_row = scores.join(ranks.select("method", "score", "avg_rank"), ["method", "score"])
+    ids, scores = scores, cut(scores.where(F.col("score").isNotNull()).select(id_col, "method", "score"))
+    ranks = cut(average_ranks(scores))
+    # Binned scores tie by the thousand: rows of a heavy tie never meet on one key.
+    per_row = lookup_join(scores, ranks.select("method", "score", "avg_rank"), ["method", "score"], ranks.select("method", "score", "n"))
     sizes = scores.groupBy("method").agg(F.count("*").alias("m"))     # one row per method
     if weights is None:
         weight = F.lit(1.0)

@@ -13,17 +13,18 @@ PARTS = 4
 FEW_ROWS = 1000
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], counts: DataFrame | None = None,
+                total: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``table``, which has one row per key; any key may hold any share of ``rows``.
 
     Keys are counted first, combined before the shuffle.  Rows of heavy keys meet their (few) table
     rows by broadcast and are never shuffled; a key of the rest is too small to fill a task.  The
     broadcast holds at most ``PARTS`` times the number of shuffle partitions rows whatever the data.
-    ``counts`` has the rows per key in ``n``, if the caller knows them already.  Rows with a null key
-    match nothing and stay where they are.
+    ``counts`` has the rows per key in ``n`` and ``total`` their number, if the caller knows them already.
+    Rows with a null key match nothing and stay where they are.
     """
     on = list(on)
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= FEW_ROWS:
         return rows.join(table, on, "left").select(*rows.columns, *[c for c in table.columns if c not in on])
     if counts is None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadquarry.functions import similarity
-from leadquarry.operators import features, learners, rank, spatial
+from leadquarry.operators import features, learners, rank, skew, spatial
 from leadquarry.sources import tables
 
 
@@ -104,3 +104,28 @@ def test_held_out_distribution(spark):
     train = spark.range(500).select(F.col("id").alias("biz_id"), (F.col("id") % 10 == 0).alias("is_holdout"), (F.col("id") % 10 == 1).cast("int").alias("y_train"))
     got = held_out_distribution(scores, train, 120, 42, bins=8).groupBy("part").agg(F.sum("n").alias("n")).collect()
     assert {r.part: r.n for r in got} == {"held_out": 50, "unlabelled": 120}
+
+
+def test_lookup_join_keeps_hot_keys_apart(spark):
+    """A third of the rows on one key and a third on null: the same rows as a plain join, and the hot key in no shuffle."""
+    rows = spark.range(60_000).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), (F.col("id") % 5000).cast("string"))).alias("k"))
+    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.sum("id").alias("total")).where("k <> 'k10'")
+    got = skew.lookup_join(rows, table, ["k"])
+    want = rows.join(F.broadcast(table), "k", "left").select("id", "k", "total")
+    assert got.columns == ["id", "k", "total"] and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    few = skew.lookup_join(rows.limit(900), table, ["k"])
+    assert few.count() == 900
+    cold = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in cold and "rightHint=(strategy=broadcast)" in cold
+
+
+def test_a_site_that_a_third_of_the_rows_share(spark):
+    df = spark.range(6000).select(
+        F.col("id").alias("biz_id"), (F.col("id") % 3).cast("string").alias("search_category"), (F.col("id") % 700 == 0).cast("int").alias("is_customer"),
+        F.when(F.col("id") % 3 == 0, 36.8).otherwise(36.0 + F.col("id") % 500 / 500).alias("latitude"),
+        F.when(F.col("id") % 3 == 0, 10.1).otherwise(10.0 + F.col("id") % 311 / 311).alias("longitude"))
+    one = {r.biz_id: r.competitor_density for r in spatial.competitor_density(df).collect()}
+    assert len(one) == 6000 and {one[i] for i in range(0, 6000, 3)} == {1999}
+    near = spatial.customer_proximity(df).collect()
+    assert len(near) == 6000 and len({r.customers_within_5km + r.is_customer for r in near if r.biz_id % 3 == 0}) == 1
