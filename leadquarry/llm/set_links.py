@@ -1,19 +1,17 @@
 """Near-duplicates by exact Jaccard similarity of shingle sets.
 
-Candidates: all shingles have one order, rare ones first.  Two sets whose Jaccard similarity reaches s
-share an element among the first ``n - ceil(s * n) + 1`` of each, whatever the order is, so an equality
-join on these prefixes finds every such pair.  Which shingles are common is counted on a sample of the
-distinct texts: the order only decides how many pairs must be looked at.  A shingle that more than ``FEW``
-classes have in their prefixes is not paired out.  Its classes are indexed by ``BANDS`` keys of ``ROWS``
-smallest permuted hashes each instead (a pair at 0.8 shares none with odds of 8 in a million), which few
-texts have in common that are not alike; a key of more than ``FEW`` classes is worked off in rounds, each
-comparing its classes with the next few of those outside its main component.
+Candidates: every class of equal sets has ``BANDS`` keys, each made of ``ROWS`` min-hashes, so two sets
+share a key with the odds of their similarity to the power of ``ROWS``; a pair at 0.8 shares none with
+odds of 1 in 80,000, one at 0.9 with odds under 1 in 10^13.  A bucket, the classes that share a key, is never paired out.  Its
+smallest class, the pivot, meets all others, and that ends a bucket of two.  After that the buckets
+whose other classes lie in more than one component go on in rounds: each compares the next ``PIVOTS``
+classes outside a bucket's largest component with the rest of it, until one component or none is left.
 
 Narrow before wide: pairs are ids alone.  A 256-bit majority fingerprint per class drops the pairs beyond
 ``BITS`` bits (a pair at 0.8 lies beyond with odds under 2 in 10 million); then each class is compared with
 its smallest partner, and afterwards only pairs whose ends the links found so far leave apart are compared.
-What is compared is decided by the whole sets; only sets of classes in such pairs are made and shuffled,
-one side at a time, and a class with very many partners is dealt out with copies of its set.
+What is compared is decided by the whole sets; only sets of classes in such pairs are made and shuffled.
+A class in very many pairs is a skewed join key, which adaptive execution splits.
 
 Equal sets are one class before anything else happens.  Sets and shingles go by 64-bit hashes: among 10
 million sets two differ and share a hash with odds of 3 in a million.
@@ -25,7 +23,6 @@ are taken whole; an empty table gives empty results.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,23 +35,17 @@ from pyspark.sql import functions as F
 
 from leadquarry.llm.graph import components
 from leadquarry.llm.shingles import shingle_hashes
-from leadquarry.operators.skew import lookup_join
 from leadquarry.session import discard, settings, spool
 
-#: Classes that share a prefix shingle or a band are all compared up to this number.
-FEW = 32
-#: Beyond it, so many classes of a band are compared with all others a round.
+#: So many classes of a bucket are compared with all its others a round.
 PIVOTS = 256
-#: Common shingles are counted on one text in so many, and at most so many are told to the tasks.
-SAMPLE = 16
-COMMON = 1 << 18
-#: Keys of common shingles' classes, and permuted hashes in a key.
-BANDS, ROWS = 64, 8
+#: Keys of a class, and min-hashes in a key.
+BANDS, ROWS = 48, 7
 #: Words of the fingerprint, and the bits in which fingerprints of similar sets may differ.
 WORDS, BITS = 4, 80
-#: Partners that a copy of a set serves.
-SERVED = 256
 SKETCH = [f"s{i}" for i in range(WORDS)]
+#: Hashes worked on at a time, however long the text.
+BLOCK = 1 << 8
 
 
 @dataclass(frozen=True)
@@ -68,48 +59,6 @@ def shingle_set(text: str | None, how: Jaccard) -> np.ndarray:
     return np.unique(shingle_hashes(text, how.shingle, how.seed))
 
 
-def _common(keyed: DataFrame, how: Jaccard) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles in the order of their hashes, and their ranks from the rarest on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), how) for t in batch.column(0)]
-            h, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
-
-    some = keyed.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(SAMPLE)) == 0)
-    some = some.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text")).select("text")
-    counts = spool(some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
-    grade = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(counts.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g)  # under 512 rows
-    least, total = None, 0
-    for r in sizes:
-        total += r["count"]
-        if total > COMMON:
-            break
-        least = r.g
-    found = [] if least is None else counts.where(grade >= least).collect()
-    discard(counts)
-    h = np.array([r.h for r in found], np.int64).view(np.uint64)
-    n = np.array([r.n for r in found], np.int64)
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((h, n))] = np.arange(len(h))
-    order = np.argsort(h)
-    return h[order], rank[order]
-
-
-def prefix(hs: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first elements of a set, one of which any set that is similar enough has among its own."""
-    if not len(hs):
-        return hs
-    n = len(hs) - math.ceil(similarity * len(hs) - 1e-9) + 1
-    if not len(common):
-        return hs[:n]
-    at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
-    known = common[at] == hs
-    return np.concatenate((hs[~known], hs[known][np.argsort(rank[at[known]])]))[:n]
-
-
 def _mixed(hs: np.ndarray, salt: int) -> np.ndarray:
     """Another 64-bit hash of each hash."""
     x = hs ^ np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) % (1 << 64))
@@ -130,46 +79,59 @@ def sketch(hs: np.ndarray) -> np.ndarray:
     return out
 
 
+_RANDOM = _mixed(np.arange(2 * BANDS * ROWS, dtype=np.uint64), 1000).astype(np.uint32).reshape(2, -1, 1)
+
+
 def bands(hs: np.ndarray) -> np.ndarray:
-    """Keys of which two sets share each with the odds of their similarity to the power of ``ROWS``."""
-    least = np.array([_mixed(hs, 1000 + i).min() for i in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
+    """Keys of which two sets share each with the odds of their similarity to the power of ``ROWS``; none for the empty set."""
+    if not len(hs):
+        return hs
+    narrow = (hs >> np.uint64(32)).astype(np.uint32)  # values that coincide only bring more candidates
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(hs), BLOCK):
+        permuted = narrow[at:at + BLOCK] ^ _RANDOM[0]
+        permuted *= _RANDOM[1] | np.uint32(1)
+        np.minimum(least, permuted.min(axis=1), out=least)
+    least = least.astype(np.uint64).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         out = _mixed(out ^ least[:, r], r)
     return out
 
 
-def _sized(how: Jaccard, a: str, b: str):
-    """Whether the sizes of two sets let them be similar enough."""
-    return F.expr(f"least({a}, {b}) >= {how.similarity} * greatest({a}, {b}) - 1e-9")
+def _described(keyed: DataFrame, how: Jaccard) -> DataFrame:
+    """k1, k2, doc_id, the hash c of the text's set, its size n, its fingerprint and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), how) for t in batch.column(3)]
+            c = np.array([xxhash.xxh64_intdigest(hs.astype("<u8").tobytes(), how.seed) for hs in sets], np.uint64)
+            prints = np.array([sketch(hs) for hs in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            keys = pa.array([bands(hs).view(np.int64) for hs in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(c.view(np.int64)), pa.array([len(hs) for hs in sets], pa.int32()),
+                 *[pa.array(np.ascontiguousarray(w)) for w in prints.T], keys], ["k1", "k2", "doc_id", "c", "n", *SKETCH, "ys"])
+
+    schema = "k1 long, k2 long, doc_id long, c long, n int, " + ", ".join(f"{s} long" for s in SKETCH) + ", ys array<long>"
+    return keyed.select("k1", "k2", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _paired(members: DataFrame, key: str) -> DataFrame:
-    """All pairs a < b of classes that share a key; no key may have many."""
-    lists = members.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("s")).where("size(s) > 1")
-    return lists.select(F.explode(F.expr(
-        "flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b").distinct()
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    """The class, size and fingerprint columns of ``rows``, named for one end of a pair."""
+    return rows.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in SKETCH])
 
 
-def _near(pairs: DataFrame, classes: DataFrame, how: Jaccard) -> DataFrame:
-    """The spooled pairs whose sizes and fingerprints let them be similar enough."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in SKETCH])
-    half = spool(lookup_join(pairs, side("a"), ["a"]))
-    both = lookup_join(half, side("b"), ["b"])
-    apart = " + ".join(f"bit_count({s}a ^ {s}b)" for s in SKETCH)
-    out = spool(both.where(_sized(how, "na", "nb")).where(f"{apart} <= {BITS}").select("a", "b"))
-    discard(half)
-    return out
+def _may(how: Jaccard, a: str = "{}a", b: str = "{}b"):
+    """Whether sizes and fingerprints let two sets be similar enough."""
+    na, nb = a.format("n"), b.format("n")
+    apart = " + ".join(f"bit_count({a.format(s)} ^ {b.format(s)})" for s in SKETCH)
+    return F.expr(f"least({na}, {nb}) >= {how.similarity} * greatest({na}, {nb}) - 1e-9 AND {apart} <= {BITS}")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; ``pairs`` is read twice."""
-    partners = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    copies = partners.select("a", F.expr(f"n DIV {SERVED}").alias("copies"))
-    dealt = lookup_join(pairs, copies, ["a"], counts=partners).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("copies") + 1).alias("copy"))
-    served = sets.join(copies, sets.c == copies.a).select("a", F.col("hs").alias("ha"), F.explode(F.sequence(F.lit(0).cast("long"), "copies")).alias("copy"))
-    both = dealt.join(served, ["a", "copy"]).select("a", "b", "ha").join(sets.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
+    """The pairs (a, b) whose whole sets are similar enough."""
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("hs").alias("ha")), "a").join(
+        sets.select(F.col("c").alias("b"), F.col("hs").alias("hb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("o"), (F.size("ha") + F.size("hb")).alias("n"))
     return both.where(F.col("o") >= how.similarity * (F.col("n") - F.col("o")) - 1e-9).select("a", "b")
 
@@ -185,16 +147,9 @@ class _Forest:
         """``rows`` with the root of the class in ``c``."""
         if self.led is None:
             return rows.withColumn(root, F.col(c))
-        found = lookup_join(rows, self.led.select(F.col("node").alias(c), F.col("root").alias(root)), [c])
+        found = rows.join(self.led.select(F.col("node").alias(c), F.col("root").alias(root)), c, "left")
         return found.withColumn(root, F.coalesce(root, c))
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The spooled pairs whose ends no link connects yet."""
-        half = spool(self.placed(pairs, "a", "ra"))
-        out = spool(self.placed(half, "b", "rb").where("ra <> rb").select("a", "b"))
-        discard(half)
-        return out
-
     def sets(self, wanted: DataFrame) -> DataFrame:
         """c, hs: the whole sets of the classes in ``wanted``, made from one text each."""
         how = self.how
@@ -207,14 +162,18 @@ class _Forest:
         texts = self.keyed.select("k1", "k2", "text").join(reps, ["k1", "k2"]).groupBy("c").agg(F.first("text").alias("text"))
         return spool(texts.select("c", whole("text").alias("hs")))
 
-    def link(self, pairs: DataFrame, sets: DataFrame) -> None:
+    def link(self, pairs: DataFrame) -> None:
         """Compare spooled pairs: each class with its smallest partner first, then what is still apart."""
-        first = spool(pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("b")))
+        if pairs.isEmpty():
+            return
+        sets = self.sets(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))))
+        first = pairs.groupBy("b").agg(F.min("a").alias("a"))
         self._take(_similar(first, sets, self.how))
-        apart = self.apart(pairs)
-        rest = spool(apart.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-        self._take(_similar(rest, sets, self.how))
-        discard(first, apart, rest)
+        apart = self.placed(self.placed(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+        rest = spool(apart.join(first, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            self._take(_similar(rest, sets, self.how))
+        discard(sets, rest)
 
     def _take(self, links: DataFrame) -> None:
         links = spool(links)
@@ -227,36 +186,27 @@ class _Forest:
         discard(links)
 
 
-def _work_off(bucket: DataFrame, forest: _Forest, sets: DataFrame) -> None:
-    """Compare the classes of large buckets (y, c), a few classes outside the main component with all others a round."""
-    done = None  # y, upto: the largest class that was compared with its whole bucket
+def _work_off(left: DataFrame, forest: _Forest) -> None:
+    """Compare the classes in spooled buckets (y, c), some outside the largest component with all others a round."""
+    narrow = ["c", "n", *SKETCH]
     while True:
-        placed = spool(forest.placed(bucket, "c", "root"))
+        placed = spool(forest.placed(left, "c", "root"))
         main = placed.groupBy("y", "root").agg(F.count("*").alias("m")).groupBy("y").agg(
             F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("y", F.col("x.root").alias("main"))
-        main = spool(main)
-        outside = lookup_join(placed, main, ["y"]).where("main IS NOT NULL AND root <> main")
-        if done is not None:
-            outside = lookup_join(outside.select("y", "c", "root"), done, ["y"]).where("upto IS NULL OR c > upto")
-        next_few = outside.select("y", "c", "root").withColumn(
-            "nth", F.row_number().over(Window.partitionBy("y").orderBy("c"))).where(F.col("nth") <= PIVOTS)
-        few = spool(next_few.groupBy("y").agg(F.collect_list(F.struct("c", "root")).alias("few"), F.max("c").alias("upto")))
-        if few.isEmpty():
-            discard(placed, main, few)
-            break
-        met = lookup_join(placed, few.select("y", "few"), ["y"]).where("few IS NOT NULL").select("c", "root", F.explode("few").alias("p"))
-        met = met.where("p.root <> root").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        met = spool(met)
-        pairs = _near(met, forest.classes, forest.how)
-        forest.link(pairs, sets)
-        last = few.select("y", "upto")
-        if done is not None:
-            last = last.unionByName(done.join(few, "y", "left_anti"))
-        last = spool(last)
-        discard(placed, main, few, met, pairs, *([] if done is None else [done]))
-        done = last
-    if done is not None:
-        discard(done)
+        going = spool(placed.join(main, "y"))
+        discard(left, placed)
+        if going.isEmpty():
+            discard(going)
+            return
+        known = going.join(forest.classes.select(*narrow), "c")
+        nth = F.row_number().over(Window.partitionBy("y").orderBy("c"))
+        few = known.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
+        few = spool(few.groupBy("y").agg(F.collect_list(F.struct("root", *narrow)).alias("few"), F.max("c").alias("upto")))
+        met = known.join(few.select("y", "few"), "y").select("root", *narrow, F.explode("few").alias("p")).where("p.root <> root")
+        pairs = spool(met.where(_may(forest.how, "p.{}", "{}")).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct())
+        forest.link(pairs)
+        left = spool(going.join(few.select("y", "upto"), "y").where("root = main OR c > upto").select("y", "c"))
+        discard(going, few, pairs)
 
 
 def roots(keyed: DataFrame, how: Jaccard) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -265,50 +215,21 @@ def roots(keyed: DataFrame, how: Jaccard) -> tuple[DataFrame, DataFrame, list[Da
     Returns (k1, k2, doc_id, fingerprint) per row, (fingerprint, smallest, root) per class: its
     smallest doc_id and the class its links lead to, and the spooled tables to discard after both.
     """
-    common, rank = _common(keyed, how)
-
-    @F.pandas_udf("array<long>")
-    def described(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            hs = shingle_set(t, how)
-            head = [xxhash.xxh64_intdigest(hs.astype("<u8").tobytes(), how.seed), len(hs)]
-            out.append(np.concatenate((np.array(head, np.uint64), sketch(hs), prefix(hs, common, rank, how.similarity))).view(np.int64))
-        return pd.Series(out)
-
-    full = spool(keyed.select("k1", "k2", "doc_id", described("text").alias("d")))
-    prints = spool(full.select("k1", "k2", "doc_id", F.col("d")[0].alias("c")))
-    whole = spool(full.groupBy(F.col("d")[0].alias("c")).agg(
-        F.min("doc_id").alias("smallest"), F.min(F.struct("k1", "k2")).alias("k"), F.first("d").alias("d")))
-    discard(full)
-    classes = spool(whole.select("c", "smallest", "k", F.col("d")[1].cast("int").alias("n"), *[F.col("d")[i + 2].alias(s) for i, s in enumerate(SKETCH)]))
-    entries = spool(whole.select("c", F.explode(F.expr(f"slice(d, {3 + WORDS}, size(d))")).alias("h")))
-    discard(whole)
+    full = spool(_described(keyed, how))
+    classes = spool(full.groupBy("c", "n", *SKETCH).agg(
+        F.min("doc_id").alias("smallest"), F.min(F.struct("k1", "k2")).alias("k"), F.first("ys").alias("ys")))
     forest = _Forest(keyed, classes, how)
-    with settings(keyed.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # but for the marked few
-        counts = spool(entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-        shared = spool(lookup_join(entries, counts, ["h"], counts=counts.withColumnRenamed("m", "n")).where("m > 1"))
-        discard(entries, counts)
-        raw = spool(_paired(shared.where(F.col("m") <= FEW), "h"))
-        pairs = _near(raw, classes, how)
-        hot = spool(shared.where(F.col("m") > FEW).select("c").distinct())
-        discard(raw, shared)
-        sets = forest.sets(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(hot))
-        forest.link(pairs, sets)
-        if not hot.isEmpty():
-            keys = F.pandas_udf(lambda s: pd.Series([bands(np.asarray(x).view(np.uint64)).view(np.int64) for x in s]), "array<long>")
-            banded = spool(sets.join(hot, "c", "left_semi").select("c", F.explode(keys("hs")).alias("y")))
-            sizes = spool(banded.groupBy("y").agg(F.count("*").alias("m")).where("m > 1"))
-            met = spool(lookup_join(banded, sizes, ["y"], counts=sizes.withColumnRenamed("m", "n")).where("m > 1"))
-            raw = spool(_paired(met.where(F.col("m") <= FEW), "y"))
-            apart = forest.apart(raw)
-            more = _near(apart, classes, how)
-            forest.link(more, sets)
-            _work_off(met.where(F.col("m") > FEW).select("y", "c"), forest, sets)
-            discard(banded, sizes, met, raw, apart, more)
-        discard(pairs, hot, sets)
+    entries = classes.select("c", F.explode("ys").alias("y"))
+    with settings(keyed.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # sizes of exploded rows are not known
+        pivots = entries.groupBy("y").agg(F.min("c").alias("p"), F.max("c").alias("last")).where("p < last").select("y", "p")
+        met = spool(entries.join(pivots, "y").where("c <> p"))
+        pairs = met.select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
+        pairs = spool(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_may(how)).select("a", "b"))
+        forest.link(pairs)
+        discard(pairs)
+        _work_off(met, forest)
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     rooted = spool(forest.placed(classes.select("c", "smallest"), "c", "root").select(
         hexed("c").alias("fingerprint"), "smallest", hexed("root").alias("root")))
     discard(classes, *([] if forest.led is None else [forest.led]))
-    return prints.select("k1", "k2", "doc_id", hexed("c").alias("fingerprint")), rooted, [prints, rooted]
+    return full.select("k1", "k2", "doc_id", hexed("c").alias("fingerprint")), rooted, [full, rooted]

@@ -162,11 +162,10 @@ def by_jaccard(rows, similarity=0.8):
     return {d: rows[g][0] for (d, _), g in zip(rows, closed(len(rows), links))}
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_near_texts_equal_exact_jaccard(spark, make, monkeypatch, few):
-    """Inner words changed so that similarities lie on both sides of 0.8; few=2 sends shared shingles the way of common ones."""
-    monkeypatch.setattr(set_links, "FEW", few)
-    monkeypatch.setattr(set_links, "SAMPLE", 2)
+@pytest.mark.parametrize("pivots", [256, 2])
+def test_near_texts_equal_exact_jaccard(spark, make, monkeypatch, pivots):
+    """Inner words changed so that similarities lie on both sides of 0.8; pivots=2 takes several rounds a bucket."""
+    monkeypatch.setattr(set_links, "PIVOTS", pivots)
     rng, rows = random.Random(11), []
     passage = [f"common{i}" for i in range(30)]
     for g in range(25):
