@@ -2,12 +2,15 @@
 
 Generators with high recall propose spans, which may overlap: the four base patterns whether or not
 their checks hold, addresses with the at sign or the dot spelt out, and any run of digits with
-separators.  Base matches that pass their checks are found for certain.  Boosted trees learn from
-them what such spans look like, by format (digits, groups, separators, letters at the edges) and by
-context (cue words before, what follows), without the checks themselves; every other proposal gets
-the trees' probability.  For each kind the cut-off is the lowest score grade from which on the
-proposals of a held-out fold are right to the wanted share.  Proposals above it are added unless
-they touch a base span; among overlapping ones the most probable stays.
+separators.  Base matches that pass their checks are found for certain and are the trees' positives.
+Negatives are matches whose checks fail, numbers without a cue word, and words that merely read like an
+address ("at home. Then").  A spelt-out address or a number after a cue word is neither: it is scored, not
+learned from, and no cut-off counts it as an error.  Inputs are format (digits, groups, letters, marks) and
+context (cue words before, what is glued to the sides).  Spelt signs count as the signs they stand for, and
+what only tells a base pattern from another form (plus sign, brackets, country code) is left out.  For each
+kind the cut-off is the lowest score grade, one half at least, from which on the examples of a held-out fold
+are right to the wanted share.  Proposals above it are added unless they touch a base span; among
+overlapping ones the most probable stays.
 
 The trees are fitted on a bounded sample of proposals; proposing, scoring and cut-offs cover all.
 
@@ -15,7 +18,8 @@ Positions come from the text between matches: the pattern's split and its matche
 running sums of their lengths are the spans, in code points, end exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are each reported; with too few
-proposals of either sort no span is added; an empty table gives an empty result; other columns are
+examples of either sort no span is added; equally probable overlapping spans give way to the earliest; very
+long texts are taken whole, their spans ordered once and never paired; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -47,6 +51,8 @@ MORE = {
     "digits": r"(?<![0-9+])\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
 }
 CUES = {"email": "mail|contact|write", "ip": "ip|host|addr|server", "card": "card|visa|credit|pay|iban", "phone": "tel|phone|call|fax|mobil"}
+#: Signs of an address, spelt out or not.
+MARKED_AT, MARKED_DOT = r"@|\(at\)|\[at\]|\{at\}", r"\.|\(dot\)|\[dot\]|\{dot\}"
 BEFORE, AFTER = 20, 8  # context characters
 
 #: Proposals that the trees are fitted on, at most.
@@ -91,7 +97,7 @@ def _holds(kind: Column, m: Column) -> Column:
 
 
 def proposals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(all rows, their proposals): row_id, doc_id; row_id, kind, base, start, end, match, before, after."""
+    """(all rows, their proposals): row_id, doc_id; row_id, kind, base, label, start, end, match, before, after."""
     body = F.coalesce(F.col(text), F.lit(""))
     maybe = F.regexp_like(body, F.lit("[0-9@]|(?i:at)[)\\]} ]"))
     rows = docs.select(
@@ -108,24 +114,36 @@ def proposals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tu
                        "after": F.lead("first").over(run)}).where("match IS NOT NULL")
     n = F.length(_digits(F.col("match")))
     dotted = F.regexp_like("match", F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"))
-    kind = F.when(F.col("by") == "spelt", "email").when(F.col("by") == "digits", F.when(dotted, "ip").when(n >= 13, "card").otherwise("phone")).otherwise(F.col("by"))
-    z = z.select("row_id", kind.alias("kind"), F.col("by").isin(list(BASE)).alias("proper"), F.col("start").cast("long").alias("start"),
+    # A run of 13 to 15 digits may be a phone or a card: both are proposed.
+    digits = F.when(dotted, F.array(F.lit("ip"))).when(n < 13, F.array(F.lit("phone"))).when(n > 15, F.array(F.lit("card"))).otherwise(
+        F.array(F.lit("card"), F.lit("phone")))
+    kinds = F.when(F.col("by") == "spelt", F.array(F.lit("email"))).when(F.col("by") == "digits", digits).otherwise(F.array("by"))
+    z = z.select("row_id", F.explode(kinds).alias("kind"), "by", F.col("by").isin(list(BASE)).alias("proper"), F.col("start").cast("long").alias("start"),
                  (F.col("start") + F.length("match")).cast("long").alias("end"), "match", "before", F.coalesce("after", F.lit("")).alias("after"))
     holds = F.when(F.col("proper"), _holds(F.col("kind"), F.col("match"))).otherwise(False)
-    return rows.select("row_id", "doc_id"), spool(z.withColumn("base", holds).drop("proper"))
+    return rows.select("row_id", "doc_id"), spool(z.withColumn("base", holds).withColumn("label", _label()).drop("proper", "by"))
+
+
+def _label() -> Column:
+    """1 for a base span, 0 for what is none for certain, null for what only the trees can tell."""
+    cued = lambda *kinds: F.regexp_like(F.lower("before"), F.lit("|".join(CUES[k] for k in kinds)))
+    open_ = (F.when(F.col("by") == "spelt", F.regexp_like("match", F.lit(MARKED_AT)))
+             .when(F.col("by") == "digits", cued("ip", "card", "phone"))
+             .otherwise((F.col("by") == "card") & cued("phone")))  # a number after "tel" that is no card may be a phone
+    return F.when(F.col("base"), 1.0).when(~open_, 0.0)
 
 
 def _facts(p: DataFrame) -> DataFrame:
-    """The trees' inputs: format and context, not the checks."""
-    m, before, after = F.col("match"), F.lower("before"), F.lower("after")
+    """The trees' inputs: format and context, not the checks and not the base form."""
+    plain = F.regexp_replace(F.regexp_replace("match", f" ?(?:{MARKED_AT}| at ) ?", "@"), f" ?(?:{MARKED_DOT}| dot ) ?", ".")
+    m, before, after = F.when(F.col("kind") == "email", plain).otherwise(F.regexp_replace("match", "[+()]", "")), F.lower("before"), F.lower("after")
     digits = _digits(m)
     facts = {
         "f_kind": F.array_position(F.array(*[F.lit(k) for k in KIND_NAMES]), F.col("kind")),
         "f_length": F.length(m), "f_digits": F.length(digits), "f_letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
         "f_groups": F.size(F.split(m, "[^0-9]+")), "f_dots": F.length(F.regexp_replace(m, r"[^.]", "")),
-        "f_dashes": F.length(F.regexp_replace(m, "[^-]", "")), "f_spaces": F.length(F.regexp_replace(m, "[^ ]", "")),
-        "f_brackets": F.length(F.regexp_replace(m, "[^()]", "")), "f_plus": m.startswith("+"), "f_at": m.contains("@"),
-        "f_first_group": F.length(F.regexp_extract(m, "[0-9]+", 0)), "f_last_group": F.length(F.regexp_extract(m, "[0-9]*$", 0)),
+        "f_dashes": F.length(F.regexp_replace(m, "[^-]", "")), "f_last_group": F.length(F.regexp_extract(m, "[0-9]*$", 0)),
+        "f_marked_at": F.regexp_like("match", F.lit(MARKED_AT)), "f_sentence": F.regexp_like("match", F.lit(r"\. ")),
         "f_distinct": F.size(F.array_distinct(F.split(digits, ""))),
         "f_glued_left": F.regexp_like(before, F.lit(r"[\p{L}\p{N}]$")), "f_glued_right": F.regexp_like(after, F.lit(r"^[\p{L}\p{N}]")),
         "f_quoted": F.regexp_like(before, F.lit("[\"'=/#]$")), "f_line_start": before == "",
@@ -137,33 +155,35 @@ def _facts(p: DataFrame) -> DataFrame:
 def _added(found: DataFrame) -> DataFrame:
     """row_id, kind, start, end of the proposals that the trees add."""
     none = found.select("row_id", "kind", "start", "end").where("1 = 0")
-    base = found.where("base")
-    place = ["row_id", "kind", "start"]
-    # A proposal where a base span starts shows what to find; one inside a base span shows nothing and is left out.
-    spans = base.select("row_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    other = found.where("NOT base")
-    touching = other.join(spans, "row_id").where("start < e AND s < end").select(*place, "end").distinct()
-    open_ = other.join(touching, [*place, "end"], "left_anti").dropDuplicates([*place, "end"])
-    examples = _facts(base.unionByName(open_)).withColumns({
-        "label": F.col("base").cast("double"), "draw": F.pmod(F.xxhash64("row_id", "start", "match"), F.lit(1 << 20))})
-    examples = spool(examples)
-    n, right = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    place = ["row_id", "kind", "start", "end"]
+    # A proposal that touches a base span shows nothing and is left out: such a base span starts no later and
+    # ends inside or after it, or starts within it.  Both come from running extremes, which take one pass each.
+    span = lambda c: F.when(F.col("base"), F.col(c))
+    upto = Window.partitionBy("row_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row_id").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("reached", F.max(span("end")).over(upto)).withColumn("next", F.min(span("start")).over(after))
+    touches = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    # The same span may come from several generators; a sure negative decides over an open one.
+    seen = F.struct(F.col("label").isNotNull().alias("sure"), "label", "base", "match", "before", "after")
+    open_ = placed.where(F.col("base") | ~touches).groupBy(*place).agg(F.max(seen).alias("x")).select(*place, "x.*")
+    examples = spool(_facts(open_).withColumn("draw", F.pmod(F.xxhash64("row_id", "start", "match"), F.lit(1 << 20))))
+    n, right = examples.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if right < 20 or n - right < 20:
         discard(examples)
         return none
     inputs = [c for c in examples.columns if c.startswith("f_")]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features")
-    learning = examples.where(F.col("draw") < int(min(0.75, TRAINING_ROWS / n) * (1 << 20)))
+    learning = examples.where("label IS NOT NULL").where(F.col("draw") < int(min(0.75, TRAINING_ROWS / n) * (1 << 20)))
     sample = spool(vectors.transform(learning).select("features", "label"))
     if sample.agg(F.count_distinct("label")).first()[0] < 2:
         discard(examples, sample)
         return none
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(sample)
     scored = model.transform(vectors.transform(examples)).select(
-        *place, "end", "base", "label", "draw", vector_to_array("probability")[1].alias("p"))
+        *place, "base", "label", "draw", vector_to_array("probability")[1].alias("p"))
     scored = spool(scored.withColumn("grade", F.least(F.floor(F.col("p") * GRADES), F.lit(GRADES - 1)).cast("int")))
-    # Cut-offs: for each kind the lowest grade from which on the held-out proposals are right often enough.
-    held = scored.where(F.col("draw") >= int(0.75 * (1 << 20))).groupBy("kind", "grade").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
+    # Cut-offs: for each kind the lowest grade from which on the held-out examples are right often enough.
+    held = scored.where("label IS NOT NULL").where(F.col("draw") >= int(0.75 * (1 << 20))).groupBy("kind", "grade").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
     upward = Window.partitionBy("kind").orderBy(F.desc("grade"))  # GRADES rows a kind at most
     held = held.withColumns({"n": F.sum("n").over(upward), "right": F.sum("right").over(upward)})
     cut = {r.kind: r.grade for r in held.where(F.col("right") >= PRECISION * F.col("n")).groupBy("kind").agg(F.min("grade").alias("grade")).collect()}

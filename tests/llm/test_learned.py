@@ -183,9 +183,23 @@ def test_personal_data_query(spark, sf):
 def test_trees_add_what_looks_like_base_spans(spark, make):
     rows = [(i, f"write a mail to user{i}@host{i}.org now" if i % 2 else f"version {i}.{i}.{i} and build {1000000 + i} end", "a") for i in range(400)]
     rows += [(1000 + i, f"write a mail to user{i} (at) host{i} (dot) org now", "a") for i in range(20)]
+    rows += [(2000 + i, f"please call tel +49 {300 + i} {5550000 + 37 * i} today", "a") for i in range(200)]
+    rows += [(3000 + i, f"please call tel 030 {300 + i} {5550000 + 41 * i} today", "a") for i in range(20)]
+    rows += [(4000 + i, f"nobody was at home{i}. Then order {7000000 + 13 * i} was shipped", "a") for i in range(200)]
     got = {r.doc_id: r for r in pii.find(make(rows)).collect()}
     assert all(len(got[i].spans) == len(got[i].base) == i % 2 for i in range(400))
-    assert all(len(got[1000 + i].base) == 0 for i in range(20))
+    assert all(len(got[i].spans) == len(got[i].base) == (i < 4000) for i in [*range(2000, 2200), *range(4000, 4200)])
+    for i, text in [(i, t) for i, t, _ in rows if 1000 <= i < 2000 or 3000 <= i < 4000]:
+        (kind, start, end), = got[i].spans
+        assert got[i].base == [] and (kind, text[start:end]) == (
+            ("email", text[len("write a mail to "):-len(" now")]) if i < 2000 else ("phone", text[len("please call tel "):-len(" today")]))
+
+
+def test_touching_a_long_directory(spark, make):
+    """Twenty thousand base spans in one text: proposals are held against them without pairing."""
+    text = " ".join(f"tel +49 30 {1000000 + i}; host{i} x@y{i}.org" for i in range(10000))
+    got = pii.find(make([(1, text, "a")])).collect()[0]
+    assert len(got.base) == 20000 and [tuple(s) for s in got.spans[:len(got.base)]] == [tuple(s) for s in got.base]
 
 
 def wjaccard(a, b, w):
