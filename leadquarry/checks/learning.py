@@ -143,10 +143,15 @@ def oob(spark, sf):
     return rounded(E.oob_mean(s, neg))
 
 
-@query("seed_stability_of_bagging", f"{SCORECARD}, {bag_sql('s1', 42, 1.0, 10)}, {bag_sql('s2', 43, 1.0, 10)} SELECT biz_id, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std FROM (SELECT biz_id, score FROM s1 UNION ALL SELECT biz_id, score FROM s2) x GROUP BY biz_id")
+SEEDS = [42, 43, 44, 45, 46]
+_BAGS = ", ".join(bag_sql(f"s{seed}", seed, 1.0) for seed in SEEDS)
+_RUNS = " UNION ALL ".join(f"SELECT biz_id, score FROM s{seed}" for seed in SEEDS)
+
+
+@query("seed_stability_of_bagging", f"{SCORECARD}, {_BAGS} SELECT biz_id, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std FROM ({_RUNS}) x GROUP BY biz_id")
 def seeds(spark, sf):
     _, prepared, train = setup(spark, sf)
-    runs = pu.over_seeds(lambda s: pu.bagging(prepared, train, s, 10)[0].select("biz_id", "score"), [42, 43])
+    runs = pu.over_seeds(lambda s: pu.bagging(prepared, train, s)[0].select("biz_id", "score"), SEEDS)
     return rounded(E.stability_by_row(runs))
 
 

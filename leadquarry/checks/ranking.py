@@ -11,6 +11,7 @@ from leadquarry.checks.registry import query
 from leadquarry.operators import evaluate as E
 from leadquarry.operators import rank as R
 from leadquarry.operators import sampling as SA
+from leadquarry.plans.presets import ranked_whole
 
 KS = [100, 500, 1000, 2000, 3000, 5000]
 METHODS = {"A": 7919, "B": 7927, "C": 104729}
@@ -238,6 +239,16 @@ def join_back(spark, sf):
     return o.join(wide.withColumnsRenamed({"A": "score_a", "B": "score_b"}), "biz_id")
 
 
+@query("ranked_list_parity", """SELECT c_custkey AS biz_id, 0 AS is_known_customer, n AS score, row_number() OVER (ORDER BY n DESC NULLS LAST, c_custkey) AS rank
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+def list_parity(spark, sf):
+    """Customers ranked by their orders: those without any stay, and the rows are held against the rows that went in."""
+    labeled = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("biz_id"), F.lit(0).alias("is_customer"))
+    scores = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("biz_id")).agg(F.count("*").alias("score"))
+    ranked = ranked_whole(labeled, labeled.join(scores, "biz_id", "left"), "score")
+    return ranked.select("biz_id", "is_known_customer", "score", "rank")
+
+
 # ---- model metrics ---------------------------------------------------------------------
 
 PREDS = SCORES + ", preds AS (SELECT method AS model, biz_id, score AS prob, target AS label, CASE WHEN biz_id % 5 = 0 THEN 1 ELSE 0 END AS known FROM scores)"
