@@ -164,6 +164,17 @@ def run_summary(spark, sf):
     return spark.createDataFrame(facts + [(f"rows.{k}", float(v)) for k, v in reports.summary["rows"].items()], "metric string, value double")
 
 
+@query("supervised_sigmoid_scores")
+def sigmoid_scores(spark, sf):
+    """The whole stage with sigmoid calibration: every business scored from the bundle as read back."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    family = "LogisticRegression"
+    reports = supervised_stage.run(ranked(spark, sf).drop("match_confidence"), folder,
+                                   lambda weights: {family: SU.model_specs(weights)[family]}, calibration="sigmoid")
+    return reports.scored.select("biz_id", "prob_client", "predicted_client")
+
+
 @query("permutation_importance")
 def importance(spark, sf):
     result, data = _trained(spark, sf, ["LogisticRegression"])

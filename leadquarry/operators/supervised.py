@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadquarry.functions.features import not_null
-from leadquarry.operators.calibrate import fit_isotonic
+from leadquarry.operators.calibrate import apply_sigmoid, fit_isotonic, fit_sigmoid
 from leadquarry.operators.evaluate import area_metrics
 from leadquarry.operators.learners import frequent_categories, split_types, wide_enough
 from leadquarry.operators.rank import exact_quantiles, exact_quantiles_by_column
@@ -269,15 +269,20 @@ def predictions(tuned: Sequence[Tuned], df: DataFrame, id_col: str = "biz_id") -
     return out
 
 
-def calibrated_scorer(best: Tuned, val: DataFrame):
-    """Isotonic model on the validation probabilities of the best classifier."""
+CALIBRATIONS = {"isotonic": fit_isotonic, "sigmoid": fit_sigmoid}
+
+
+def calibrated_scorer(best: Tuned, val: DataFrame, calibration: str = "isotonic"):
+    """Isotonic or sigmoid model on the validation probabilities of the best classifier."""
     rows = positive_probability(best.model, val).select(F.col("prob").alias("score"), F.col(TARGET).cast("double").alias("label"))
-    return fit_isotonic(rows)
+    return CALIBRATIONS[calibration](rows)
 
 
 def apply_calibration(model, df: DataFrame, score: str = "prob", out: str = "prob_client") -> DataFrame:
-    done = model.transform(df.withColumn("score", F.col(score))).drop("score")
-    return done.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated"))).drop("calibrated")
+    scored = df.withColumn("score", F.col(score))
+    done = (apply_sigmoid(model, scored) if isinstance(model, PipelineModel) else model.transform(scored)).drop("score")
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated"))
+    return done.withColumn(out, F.when(F.col("calibrated").isNotNull(), clipped)).drop("calibrated")
 
 
 def decide(df: DataFrame, prob: str = "prob_client", out: str = "predicted_client", threshold: float = THRESHOLD) -> DataFrame:
@@ -343,7 +348,7 @@ class SupervisedResult:
 
 
 def train_models(df: DataFrame, specs: Callable[[dict], dict[str, tuple]] = model_specs, seed: int = 42,
-                 id_col: str = "biz_id") -> tuple[SupervisedResult, DataFrame]:
+                 id_col: str = "biz_id", calibration: str = "isotonic") -> tuple[SupervisedResult, DataFrame]:
     """Flags, target, screens, split, tuning, selection and calibration.
 
     ``specs`` makes the model families from the class weights of the training rows.  Returns the
@@ -355,7 +360,7 @@ def train_models(df: DataFrame, specs: Callable[[dict], dict[str, tuple]] = mode
     train, val, test = (data.where(F.col("split") == s) for s in ("train", "val", "test"))
     tuned = [tune(name, spec, train, val, schema) for name, spec in specs(class_weights(train)).items()]
     best = max(tuned, key=lambda t: t.val_ap)
-    result = SupervisedResult(schema, tuned, best, cut(predictions(tuned, test, id_col)), calibrated_scorer(best, val))
+    result = SupervisedResult(schema, tuned, best, cut(predictions(tuned, test, id_col)), calibrated_scorer(best, val, calibration))
     return result, data
 
 

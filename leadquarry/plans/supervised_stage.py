@@ -27,13 +27,13 @@ class Reports:
 
 
 def run(df: DataFrame, folder: str | None = None, specs: Callable[[dict], dict[str, tuple]] = S.model_specs,
-        seed: int = 42, id_col: str = "biz_id") -> Reports:
+        seed: int = 42, id_col: str = "biz_id", calibration: str = "isotonic") -> Reports:
     """Trains, evaluates on the test rows, saves the bundle and scores the whole table.
 
-    With a ``folder`` every report is written there, the bundle under ``bundle`` and the summary
+    ``calibration`` is "isotonic" or "sigmoid".  With a ``folder`` every report is written there, the bundle under ``bundle`` and the summary
     as ``run_summary.json``; the scored table then comes from the bundle as read back."""
     spark = df.sparkSession
-    result, data = S.train_models(df, specs, seed, id_col)
+    result, data = S.train_models(df, specs, seed, id_col, calibration)
     best, test = result.best, data.where("split = 'test'")
     of_best = result.test_predictions.where(F.col("model") == best.name)
     calibrated = S.apply_calibration(result.calibrator, of_best, out="prob_calibrated")
@@ -49,7 +49,7 @@ def run(df: DataFrame, folder: str | None = None, specs: Callable[[dict], dict[s
         cut(S.permutation_importance(best.model, test, result.schema.features)), scored, {})
     rows = lambda t: [r.asDict() for r in t.collect()]  # noqa: E731  a row per model or metric
     reports.summary |= {
-        "best": best.name, "params": best.params, "validation_pr_auc": {t.name: t.val_ap for t in result.tuned},
+        "best": best.name, "params": best.params, "calibration_method": calibration, "validation_pr_auc": {t.name: t.val_ap for t in result.tuned},
         "rows": {r.split: r.n for r in data.groupBy("split").agg(F.count("*").alias("n")).collect()}, "threshold": threshold,
         "leakage": result.schema.leakage, "constant": result.schema.constant,
         "test": rows(reports.comparison), "known_customers": rows(reports.known_customers), "calibration": rows(reports.calibration)}

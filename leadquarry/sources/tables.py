@@ -137,17 +137,20 @@ def write_json(spark: SparkSession, summary: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(summary),)], "value string").write.mode("overwrite").text(path)
 
 
-def save_bundle(model: PipelineModel, meta: dict, path: str, calibrator: IsotonicRegressionModel | None = None) -> None:
+def save_bundle(model: PipelineModel, meta: dict, path: str,
+                calibrator: IsotonicRegressionModel | PipelineModel | None = None) -> None:
     """All that scoring new rows takes: fitted pipeline, calibrator, feature list, types, threshold."""
     model.write().overwrite().save(f"{path}/model")
     if calibrator is not None:
         calibrator.write().overwrite().save(f"{path}/calibrator")
     spark = SparkSession.getActiveSession()
-    meta = meta | {"calibrated": calibrator is not None}
+    kind = None if calibrator is None else "sigmoid" if isinstance(calibrator, PipelineModel) else "isotonic"
+    meta = meta | {"calibrated": calibrator is not None, "calibration": kind}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, IsotonicRegressionModel | None, dict]:
+def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, IsotonicRegressionModel | PipelineModel | None, dict]:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
-    calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if meta["calibrated"] else None
+    kind = PipelineModel if meta.get("calibration") == "sigmoid" else IsotonicRegressionModel
+    calibrator = kind.load(f"{path}/calibrator") if meta["calibrated"] else None
     return PipelineModel.load(f"{path}/model"), calibrator, meta
