@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,10 +49,12 @@ FOLD_FROM, FOLD_TO = _latin_fold()
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters to ASCII; combining marks removed."""
+    """Latin letters to ASCII; combining marks removed.  Texts of ASCII alone are left as they are."""
+    plain = c
     for wide, ascii_form in WIDE_FOLDS:
         c = F.replace(c, F.lit(wide), F.lit(ascii_form))
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
+    folded = F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), folded).otherwise(plain)
 
 
 def strip_blank(c: Column) -> Column:
@@ -65,6 +68,11 @@ def raw_tokens(name: Column) -> Column:
     return F.filter(F.split(s, " "), lambda t: t != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _is_initial(t: Column) -> Column:
     return (F.length(t) == 1) & t.rlike(r"^\p{L}$")
 
@@ -74,13 +82,16 @@ def normalized_name(name: Column) -> Column:
 
     A name made only of initials becomes the joined initials, unless those spell a legal form.
     """
-    raw = raw_tokens(name)
+    return _let(raw_tokens(name), _kept_words)
+
+
+def _kept_words(raw: Column) -> Column:
     words = F.filter(
         raw, lambda t: ~t.isin(LEGAL_FORMS) & ~t.rlike(r"\p{Nd}") & ~_is_initial(t)
     )
     initials = F.array_join(F.filter(raw, _is_initial), "")
-    spelled = F.when(initials.isin(LEGAL_FORMS), F.lit("")).otherwise(initials)
-    return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(spelled)
+    spelled = _let(initials, lambda i: F.when(i.isin(LEGAL_FORMS), F.lit("")).otherwise(i))
+    return _let(F.array_join(words, " "), lambda w: F.when(w != "", w).otherwise(spelled))  # tokens are not empty
 
 
 def has_legal_form(name: Column) -> Column:
