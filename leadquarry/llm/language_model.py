@@ -149,6 +149,7 @@ def _updates(table: np.ndarray, own: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, codes = table.copy(), Codes(own)
         squares, touched = np.full(w.shape, 1e-2, np.float32), np.zeros(len(w), np.int64)
+        place = np.empty(ROWS, np.intp)
         for batch in batches:
             _, flat, first = _coded(batch.column(0), codes)
             if not len(flat):
@@ -159,14 +160,22 @@ def _updates(table: np.ndarray, own: dict[bytes, int]):
                 _, g = _exponentials(w, r)
                 g /= (g @ np.ones(CLASSES, g.dtype))[:, None]
                 g[np.arange(len(r)), target] -= 1
-                at_rows = r.ravel().astype(np.intp)
-                n = np.bincount(at_rows, minlength=len(w))
-                changed = np.flatnonzero(n)
-                step = np.stack([np.bincount(at_rows, np.repeat(c, KINDS), len(w)).take(changed) for c in g.T], 1).astype(np.float32)
-                grown = squares.take(changed, axis=0) + step * step
-                squares[changed] = grown
-                w[changed] -= RATE * step / np.sqrt(grown)
-                touched += n
+                by_class = np.ascontiguousarray(g.T, float)
+                for k in range(KINDS):  # kinds have rows of their own, so each token counts once a kind
+                    at_rows = r[:, k].astype(np.intp) - k * ROWS
+                    n = np.bincount(at_rows, minlength=ROWS)
+                    changed = np.flatnonzero(n)
+                    place[changed] = np.arange(len(changed))
+                    at_rows = place[at_rows]
+                    step = np.empty((CLASSES, len(changed)), np.float32)
+                    for c in range(CLASSES):
+                        step[c] = np.bincount(at_rows, by_class[c], len(changed))
+                    step = np.ascontiguousarray(step.T)
+                    touched[k * ROWS:(k + 1) * ROWS] += n
+                    changed += k * ROWS
+                    grown = squares.take(changed, axis=0) + step * step
+                    squares[changed] = grown
+                    w[changed] -= RATE * step / np.sqrt(grown)
         rows = np.flatnonzero(touched)
         change = (w - table)[rows] * touched[rows, None]
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(touched[rows]), *[pa.array(c.astype(float)) for c in change.T]],
