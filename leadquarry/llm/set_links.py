@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from leadquarry.llm.graph import components
 from leadquarry.llm.shingles import shingle_hashes
+from leadquarry.operators.skew import lookup_join
 from leadquarry.session import discard, settings, spool
 
 #: So many classes of a bucket are compared with all its others a round.
@@ -186,26 +187,72 @@ class _Forest:
         discard(links)
 
 
+def _open(left: DataFrame, forest: _Forest) -> DataFrame:
+    """The rows of ``left`` whose bucket y lies in more than one component, with root, and main, the largest component."""
+    placed = spool(forest.placed(left, "c", "root"))
+    main = placed.groupBy("y", "root").agg(F.count("*").alias("m")).groupBy("y").agg(
+        F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("y", F.col("x.root").alias("main"))
+    going = spool(placed.join(main, "y"))
+    discard(placed)
+    return going
+
+
+def _reaches(how: Jaccard, ni: str, i: str, nj: str) -> str:
+    """Whether a set of ``ni`` shingles, ``i`` of them before the first shared one, can be similar enough to one of ``nj``."""
+    return f"{ni} - {i} >= {how.similarity / (1 + how.similarity)} * ({ni} + {nj}) - 1e-9"
+
+
+def _prefixes(classes: DataFrame, forest: _Forest) -> DataFrame:
+    """y, c, i: the rarest shingles y of each class c, and how many of its shingles come before y.
+
+    Shingles are ordered by the number of ``classes`` that hold them.  Similar sets share a shingle so early that
+    both can still reach the similarity; a shingle of one class alone only takes a place."""
+    how = forest.how
+    sets = forest.sets(classes)
+    held = sets.select("c", F.explode("hs").alias("h"))
+    df = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = lookup_join(held, df, ["h"]).where("df IS NOT NULL").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    placed = ordered.join(sets.select("c", F.size("hs").alias("n")), "c").withColumn("own", F.col("n") - F.size("hs"))
+    upto = F.floor(F.lit(1 - how.similarity + 1e-9) * F.col("n")).cast("int") + 1 - F.col("own")
+    early = placed.where(upto > 0).select("c", "n", "own", F.posexplode(F.slice("hs", F.lit(1), upto)).alias("at", "x"))
+    rows = spool(early.select(F.col("x.h").alias("y"), "c", "n", (F.col("own") + F.col("at")).alias("i")))
+    # no set of the bucket is smaller than its least, so what cannot reach that one pairs with none
+    least = rows.groupBy("y").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").select("y", "least")
+    out = spool(lookup_join(rows, least, ["y"]).where("least IS NOT NULL").where(
+        _reaches(how, "n", "i", f"greatest(least, {how.similarity} * n)")).select("y", "c", "i"))
+    discard(sets, rows)
+    return out
+
+
 def _work_off(left: DataFrame, forest: _Forest) -> None:
-    """Compare the classes in spooled buckets (y, c), some outside the largest component with all others a round."""
+    """Compare the classes in spooled buckets (y, c), some outside the largest component with all others a round.
+
+    Buckets that the first links leave in several components are dealt anew by rare shingles: a key shared by
+    classes that have only a frequent passage in common would meet them all, a rare shingle does not."""
     narrow = ["c", "n", *SKETCH]
+    met, going = left, _open(left, forest)
+    discard(met)
+    if going.isEmpty():
+        discard(going)
+        return
+    left = _prefixes(going.select("c").distinct(), forest)
+    discard(going)
     while True:
-        placed = spool(forest.placed(left, "c", "root"))
-        main = placed.groupBy("y", "root").agg(F.count("*").alias("m")).groupBy("y").agg(
-            F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("y", F.col("x.root").alias("main"))
-        going = spool(placed.join(main, "y"))
-        discard(left, placed)
+        going = _open(left, forest)
+        discard(left)
         if going.isEmpty():
             discard(going)
             return
         known = going.join(forest.classes.select(*narrow), "c")
         nth = F.row_number().over(Window.partitionBy("y").orderBy("c"))
         few = known.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-        few = spool(few.groupBy("y").agg(F.collect_list(F.struct("root", *narrow)).alias("few"), F.max("c").alias("upto")))
-        met = known.join(few.select("y", "few"), "y").select("root", *narrow, F.explode("few").alias("p")).where("p.root <> root")
-        pairs = spool(met.where(_may(forest.how, "p.{}", "{}")).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct())
+        few = spool(few.groupBy("y").agg(F.collect_list(F.struct("root", "i", *narrow)).alias("few"), F.max("c").alias("upto")))
+        met = known.join(few.select("y", "few"), "y").select("root", "i", *narrow, F.explode("few").alias("p")).where("p.root <> root")
+        reach = F.expr(f"{_reaches(forest.how, 'n', 'i', 'p.n')} AND {_reaches(forest.how, 'p.n', 'p.i', 'n')}")
+        pairs = spool(met.where(reach & _may(forest.how, "p.{}", "{}")).select(
+            F.least("p.c", "c").alias("a"), F.greatest("p.c", "c").alias("b")).distinct())
         forest.link(pairs)
-        left = spool(going.join(few.select("y", "upto"), "y").where("root = main OR c > upto").select("y", "c"))
+        left = spool(going.join(few.select("y", "upto"), "y").where("root = main OR c > upto").select("y", "c", "i"))
         discard(going, few, pairs)
 
 
