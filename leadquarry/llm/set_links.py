@@ -3,9 +3,11 @@
 Candidates: every class of equal sets has ``BANDS`` keys, each made of ``ROWS`` min-hashes, so two sets
 share a key with the odds of their similarity to the power of ``ROWS``; a pair at 0.8 shares none with
 odds of 1 in 80,000, one at 0.9 with odds under 1 in 10^13.  A bucket, the classes that share a key, is never paired out.  Its
-smallest class, the pivot, meets all others, and that ends a bucket of two.  After that the buckets
-whose other classes lie in more than one component go on in rounds: each compares the next ``PIVOTS``
-classes outside a bucket's largest component with the rest of it, until one component or none is left.
+smallest class, the pivot, meets all others, and that ends a bucket of two.  Classes of buckets that lie in
+more components are dealt anew by their rarest shingles: two similar sets share one so early in the order of
+rarity that what follows can still reach the similarity, so classes with a mere passage in common do not meet.
+These buckets go on in rounds: each compares the next ``PIVOTS`` classes outside a bucket's largest component
+with the rest of it, until one component or none is left.
 
 Narrow before wide: pairs are ids alone.  A 256-bit majority fingerprint per class drops the pairs beyond
 ``BITS`` bits (a pair at 0.8 lies beyond with odds under 2 in 10 million); then each class is compared with
