@@ -12,7 +12,7 @@ with the rest of it, until one component or none is left.
 Narrow before wide: pairs are ids alone.  A 256-bit majority fingerprint per class drops the pairs beyond
 ``BITS`` bits (a pair at 0.8 lies beyond with odds under 2 in 10 million); then each class is compared with
 its smallest partner, and afterwards only pairs whose ends the links found so far leave apart are compared.
-What is compared is decided by the whole sets; only sets of classes in such pairs are made and shuffled.
+What is compared is decided by the whole sets; only sets of classes in such pairs, or dealt anew, are made and shuffled.
 A class in very many pairs is a skewed join key, which adaptive execution splits.
 
 Equal sets are one class before anything else happens.  Sets and shingles go by 64-bit hashes: among 10
