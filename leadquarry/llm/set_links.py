@@ -6,6 +6,8 @@ odds of 1 in 80,000, one at 0.9 with odds under 1 in 10^13.  A bucket, the class
 smallest class, the pivot, meets all others, and that ends a bucket of two.  Classes of buckets that lie in
 more components are dealt anew by their rarest shingles: two similar sets share one so early in the order of
 rarity that what follows can still reach the similarity, so classes with a mere passage in common do not meet.
+Buckets around one largest component are a group with a centre, the shingles of over half of it.  Sets that depart little
+from it are all similar to the one that departs least; others must share departures, and are dealt by their rarest ones.
 These buckets go on in rounds: each compares the next ``PIVOTS`` classes outside a bucket's largest component
 with the rest of it, until one component or none is left.
 
@@ -124,11 +126,11 @@ def _side(rows: DataFrame, x: str) -> DataFrame:
     return rows.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(f"{s}{x}") for s in SKETCH])
 
 
-def _may(how: Jaccard, a: str = "{}a", b: str = "{}b"):
+def _may(how: Jaccard, a: str = "{}a", b: str = "{}b") -> str:
     """Whether sizes and fingerprints let two sets be similar enough."""
     na, nb = a.format("n"), b.format("n")
     apart = " + ".join(f"bit_count({a.format(s)} ^ {b.format(s)})" for s in SKETCH)
-    return F.expr(f"least({na}, {nb}) >= {how.similarity} * greatest({na}, {nb}) - 1e-9 AND {apart} <= {BITS}")
+    return f"least({na}, {nb}) >= {how.similarity} * greatest({na}, {nb}) - 1e-9 AND {apart} <= {BITS}"
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
@@ -204,13 +206,11 @@ def _reaches(how: Jaccard, ni: str, i: str, nj: str) -> str:
     return f"{ni} - {i} >= {how.similarity / (1 + how.similarity)} * ({ni} + {nj}) - 1e-9"
 
 
-def _prefixes(classes: DataFrame, forest: _Forest) -> DataFrame:
-    """y, c, i: the rarest shingles y of each class c, and how many of its shingles come before y.
+def _prefixes(sets: DataFrame, how: Jaccard) -> DataFrame:
+    """y, c: the rarest shingles y of each class c.
 
-    Shingles are ordered by the number of ``classes`` that hold them.  Similar sets share a shingle so early that
+    Shingles are ordered by the number of classes that hold them.  Similar sets share a shingle so early that
     both can still reach the similarity; a shingle of one class alone only takes a place."""
-    how = forest.how
-    sets = forest.sets(classes)
     held = sets.select("c", F.explode("hs").alias("h"))
     df = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ordered = lookup_join(held, df, ["h"]).where("df IS NOT NULL").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
@@ -221,8 +221,57 @@ def _prefixes(classes: DataFrame, forest: _Forest) -> DataFrame:
     # no set of the bucket is smaller than its least, so what cannot reach that one pairs with none
     least = rows.groupBy("y").agg(F.min("n").alias("least"), F.count("*").alias("m")).where("m > 1").select("y", "least")
     out = spool(lookup_join(rows, least, ["y"]).where("least IS NOT NULL").where(
-        _reaches(how, "n", "i", f"greatest(least, {how.similarity} * n)")).select("y", "c", "i"))
-    discard(sets, rows)
+        _reaches(how, "n", "i", f"greatest(least, {how.similarity} * n)")).select("y", "c"))
+    discard(rows)
+    return out
+
+
+#: What two sets must share of their departures from one centre, by their slacks, to be similar.
+_OWED = "-({} + {}) / 2 - 1e-6"
+
+
+def _departures(members: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
+    """y, c, gone, f: where each set departs from the centre of its group y, and how much slack is left to it.
+
+    The centre holds the shingles of over half of the group.  Two sets are similar if they differ in no more
+    than a fixed share of their sizes; the slack f is this share of a set's size less its departures.  So sets
+    whose slacks add up to zero or more are similar, and others must share departures: half of what is missing."""
+    held = spool(members.join(sets, "c"))
+    size = held.groupBy("y").agg(F.count("*").alias("m"))
+    count = held.select("y", F.explode("hs").alias("h")).groupBy("y", "h").agg(F.count("*").alias("k"))
+    centre = spool(count.join(size, "y").where("2 * k > m").groupBy("y").agg(F.collect_list("h").alias("mid")))
+    both = lookup_join(held, centre, ["y"]).withColumn("mid", F.coalesce("mid", F.array().cast("array<bigint>")))
+    apart = both.withColumn("gone", F.concat(F.array_except("hs", "mid"), F.array_except("mid", "hs")))
+    share = (1 - how.similarity) / (1 + how.similarity)
+    out = spool(apart.select("y", "c", "gone", (share * F.size("hs") - F.size("gone")).alias("f")))
+    discard(held, centre)
+    return out
+
+
+def _by_departures(going: DataFrame, forest: _Forest) -> DataFrame:
+    """y, c, f, rest: classes of groups still open, keyed by their rarest departures; ``rest`` counts those not rarer.
+
+    Sets that owe each other nothing are all similar to the one with the most slack, which is linked with them here."""
+    best = spool(going.groupBy("y").agg(F.max(F.struct("f", "c")).alias("z")))
+    placed = lookup_join(going.select("y", "c", "f"), best, ["y"]).where("c <> z.c AND f + z.f >= -1e-6")
+    near = placed.select(F.least("c", "z.c").alias("a"), F.greatest("c", "z.c").alias("b")).distinct()
+    pairs = spool(forest.placed(forest.placed(near, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
+    forest.link(pairs)
+    left = _open(going, forest)
+    parts = left.select("y", "c", F.explode("gone").alias("h"))
+    df = parts.groupBy("y", "h").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = lookup_join(parts, df, ["y", "h"]).where("df IS NOT NULL").groupBy("y", "c").agg(
+        F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    owed = F.greatest(F.lit(1), F.ceil(F.expr(_OWED.format("f", "z.f")))).cast("int")
+    known = lookup_join(left.select("y", "c", "f", F.size("gone").alias("n")), best, ["y"]).withColumn("owed", owed)
+    known = ordered.join(known, ["y", "c"]).withColumn("own", F.col("n") - F.size("hs"))
+    upto = F.col("n") - F.col("owed") + 1 - F.col("own")
+    early = known.where(upto > 0).select("y", "c", "f", "n", "own", F.posexplode(F.slice("hs", F.lit(1), upto)).alias("at", "x"))
+    rows = spool(early.select("y", F.col("x.h").alias("h"), "c", "f", (F.col("n") - F.col("own") - F.col("at")).alias("rest")))
+    top = rows.groupBy("y", "h").agg(F.max("f").alias("top"), F.count("*").alias("m")).where("m > 1").select("y", "h", "top")
+    out = spool(lookup_join(rows, top, ["y", "h"]).where("top IS NOT NULL").where(f"rest >= {_OWED.format('f', 'top')}").select(
+        F.struct("y", "h").alias("y"), "c", "f", "rest"))
+    discard(best, pairs, left, rows)
     return out
 
 
@@ -230,15 +279,25 @@ def _work_off(left: DataFrame, forest: _Forest) -> None:
     """Compare the classes in spooled buckets (y, c), some outside the largest component with all others a round.
 
     Buckets that the first links leave in several components are dealt anew by rare shingles: a key shared by
-    classes that have only a frequent passage in common would meet them all, a rare shingle does not."""
+    classes that have only a frequent passage in common would meet them all, a rare shingle does not.  Many edits of
+    one text share its shingles too: buckets around one component are a group, dealt by departures from its centre."""
     narrow = ["c", "n", *SKETCH]
     met, going = left, _open(left, forest)
     discard(met)
     if going.isEmpty():
         discard(going)
         return
-    left = _prefixes(going.select("c").distinct(), forest)
+    sets = forest.sets(going.select("c"))
+    left = _prefixes(sets, forest.how)
     discard(going)
+    going = _open(left, forest)
+    discard(left)
+    if going.isEmpty():
+        discard(going, sets)
+        return
+    groups = _departures(going.select(F.col("main").alias("y"), "c").distinct(), sets, forest.how)
+    left = _by_departures(groups, forest)
+    discard(going, sets, groups)
     while True:
         going = _open(left, forest)
         discard(left)
@@ -248,13 +307,12 @@ def _work_off(left: DataFrame, forest: _Forest) -> None:
         known = going.join(forest.classes.select(*narrow), "c")
         nth = F.row_number().over(Window.partitionBy("y").orderBy("c"))
         few = known.where("root <> main").withColumn("nth", nth).where(F.col("nth") <= PIVOTS)
-        few = spool(few.groupBy("y").agg(F.collect_list(F.struct("root", "i", *narrow)).alias("few"), F.max("c").alias("upto")))
-        met = known.join(few.select("y", "few"), "y").select("root", "i", *narrow, F.explode("few").alias("p")).where("p.root <> root")
-        reach = F.expr(f"{_reaches(forest.how, 'n', 'i', 'p.n')} AND {_reaches(forest.how, 'p.n', 'p.i', 'n')}")
-        pairs = spool(met.where(reach & _may(forest.how, "p.{}", "{}")).select(
-            F.least("p.c", "c").alias("a"), F.greatest("p.c", "c").alias("b")).distinct())
+        few = spool(few.groupBy("y").agg(F.collect_list(F.struct("root", "f", "rest", *narrow)).alias("few"), F.max("c").alias("upto")))
+        owes = f"p.root <> root AND least(rest, p.rest) >= {_OWED.format('f', 'p.f')} AND {_may(forest.how, 'p.{}', '{}')}"
+        met = known.join(few.select("y", "few"), "y").select("c", F.explode(F.expr(f"filter(few, p -> {owes})")).alias("p"))
+        pairs = spool(met.select(F.least("p.c", "c").alias("a"), F.greatest("p.c", "c").alias("b")).distinct())
         forest.link(pairs)
-        left = spool(going.join(few.select("y", "upto"), "y").where("root = main OR c > upto").select("y", "c", "i"))
+        left = spool(going.join(few.select("y", "upto"), "y").where("root = main OR c > upto").select("y", "c", "f", "rest"))
         discard(going, few, pairs)
 
 

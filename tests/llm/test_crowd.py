@@ -46,3 +46,16 @@ def test_a_crowd_costs_no_square(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NEAR_TEXTS).collect()}
     assert got == dict(enumerate(brute_force(texts, near_dedup.NEAR_TEXTS)))
     assert sum(compared) < 60 * len(texts), compared
+
+
+def test_edits_of_one_text_meet_by_what_they_changed(spark, monkeypatch):
+    texts, compared, link = crowd(500, seed=5), [], set_links._Forest.link
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        link(self, pairs)
+    monkeypatch.setattr(set_links._Forest, "link", counted)
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NEAR_TEXTS).collect()}
+    assert got == {**dict(enumerate(brute_force(texts, near_dedup.NEAR_TEXTS))), len(texts): len(texts)}
+    assert sum(compared[1:]) < 4 * len(texts), compared
