@@ -25,6 +25,11 @@ from pyspark.sql import functions as F
 
 from leadquarry.session import shared_folder
 
+#: Paths of at most so many features are tabled by pattern: 2 to that power rows of numbers.
+PATTERN_FEATURES = 8
+#: Conditions whose outcome for a batch is kept beside it, a byte a row each.
+KEPT_CONDITIONS = 256
+
 
 @dataclass(frozen=True)
 class Path:
@@ -86,32 +91,64 @@ def _meets(x: np.ndarray, conditions: tuple) -> np.ndarray:
     return out
 
 
-def path_attributions(paths: list[Path], x: np.ndarray) -> np.ndarray:
-    """One row of attributions per row of ``x``."""
-    out = np.zeros(x.shape)
-    for p in paths:
-        d = len(p.features)
-        met = [_meets(x[:, f], c).astype(float) for f, c in zip(p.features, p.conditions)]
-        size = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-        for i, f in enumerate(p.features):
-            # Coefficient k: the weight of all sets of k other features being known.
-            known = np.zeros((d, len(x)))
-            known[0] = 1.0
-            for j in range(d):
-                if j != i:
-                    known[1:], known[0] = known[1:] * p.shares[j] + known[:-1] * met[j], known[0] * p.shares[j]
-            out[:, f] += p.value * (met[i] - p.shares[i]) * (np.array(size) @ known)
+def _added(p: Path, met: np.ndarray) -> np.ndarray:
+    """What the path adds to each of its features; ``met`` has a row per feature: 1 where it is met, else 0."""
+    d, n = met.shape
+    size = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.zeros((d, n))
+    for i in range(d):
+        # Coefficient k: the weight of all sets of k other features being known.
+        known = np.zeros((d, n))
+        known[0] = 1.0
+        for j in range(d):
+            if j != i:
+                known[1:], known[0] = known[1:] * p.shares[j] + known[:-1] * met[j], known[0] * p.shares[j]
+        out[i] = p.value * (met[i] - p.shares[i]) * (size @ known)
     return out
 
 
+def pattern_tables(paths: list[Path]) -> list[np.ndarray | None]:
+    """Per path what it adds by the pattern of features that a row meets (bit i: feature i); none for long paths."""
+    return [_added(p, (np.arange(1 << len(p.features)) >> np.arange(len(p.features))[:, None] & 1).astype(float))
+            if len(p.features) <= PATTERN_FEATURES else None for p in paths]
+
+
+def path_attributions(paths: list[Path], x: np.ndarray, tables: list[np.ndarray | None] | None = None) -> np.ndarray:
+    """One row of attributions per row of ``x``.
+
+    A path sees of a row only which of its features are met, so what it adds is looked up by that pattern."""
+    columns, out = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
+    met_by: dict[tuple, np.ndarray] = {}  # paths of a tree, which follow one another, share most of their conditions
+    for p, table in zip(paths, pattern_tables(paths) if tables is None else tables):
+        if len(met_by) > KEPT_CONDITIONS:
+            met_by.clear()
+        met = []
+        for f, conditions in zip(p.features, p.conditions):
+            if (f, conditions) not in met_by:
+                met_by[f, conditions] = _meets(columns[f], conditions)
+            met.append(met_by[f, conditions])
+        if table is None:
+            for f, added in zip(p.features, _added(p, np.array(met, float).reshape(-1, len(x)))):
+                out[f] += added
+            continue
+        pattern = np.zeros(len(x), np.uint8)
+        for i, m in enumerate(met):
+            pattern |= m.view(np.uint8) << np.uint8(i)
+        pattern = pattern.astype(np.intp)
+        for f, by_pattern in zip(p.features, table):
+            out[f] += by_pattern.take(pattern)
+    return np.ascontiguousarray(out.T)
+
+
 def attributions(model, vectors: DataFrame, id_col: str = "biz_id", features: str = "features") -> DataFrame:
     """``(id, base, score, attribution array)`` of every row; null features or values are not allowed, as in the model."""
     paths, base = tree_paths(model, vectors.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = pattern_tables(paths)
         for pdf in batches:
             x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
-            found = path_attributions(paths, x) if len(pdf) else x
+            found = path_attributions(paths, x, tables) if len(pdf) else x
             yield pd.DataFrame({id_col: pdf[id_col], "base": base, "score": base + found.sum(1), "attribution": list(found)})
 
     kind = dict(vectors.dtypes)[id_col]

@@ -54,3 +54,29 @@ def test_attributions(spark, vectors, make):
     summary = A.attribution_summary(A.attributions(model, vectors), list("abcdek")).collect()
     assert len(summary) == 6 and summary[0].mean_abs >= summary[-1].mean_abs > -1 and {s.feature for s in summary[:3]} & {"a", "b"}
     assert A.attributions(model, vectors.where(F.lit(False))).collect() == []
+
+
+def test_a_path_is_worked_out_per_pattern_and_not_per_row(monkeypatch):
+    """Short paths cost their patterns however many rows there are; long ones give the same by the rows."""
+    rng, worked = random.Random(9), []
+
+    def path(depth):
+        way = {}
+        for f in rng.sample(range(10), depth):
+            cut = (1.0, 3.0) if f >= 8 else (rng.random(),)
+            way[f] = (rng.random(), ((cut, rng.random() < 0.5, f >= 8),))
+        return A.Path(rng.gauss(0, 1), tuple(way), tuple(w[0] for w in way.values()), tuple(w[1] for w in way.values()))
+    paths = [path(d) for d in (0, 1, 3, 5, 5, 5)]
+    x = np.array([[*(rng.random() for _ in range(8)), *(float(rng.randrange(5)) for _ in range(2))] for _ in range(3000)])
+    plain = A._added
+    monkeypatch.setattr(A, "_added", lambda p, met: worked.append(met.shape[1]) or plain(p, met))
+    got = A.path_attributions(paths, x)
+    assert sum(worked) <= sum(1 << len(p.features) for p in paths) < len(x)
+    monkeypatch.setattr(A, "PATTERN_FEATURES", -1)
+    assert A.pattern_tables(paths) == [None] * len(paths) and (A.path_attributions(paths, x) == got).all()
+    want = np.zeros(10)
+    for p in paths:
+        met = np.array([A._meets(x[:1, f], c)[0] for f, c in zip(p.features, p.conditions)], float).reshape(-1, 1)
+        for f, a in zip(p.features, plain(p, met)):
+            want[f] += a[0]
+    assert got[0] == pytest.approx(want, abs=1e-12)
