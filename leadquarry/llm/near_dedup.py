@@ -81,8 +81,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, how: SimHash, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f0, ...): one row per row of the input."""
+def fingerprints(docs: DataFrame, how: SimHash, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, f0, ...): one row per row of the input; ``keys`` are long columns that are carried along behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +91,10 @@ def fingerprints(docs: DataFrame, how: SimHash, doc_id: str = "doc_id", text: st
             for i in range(how.words):
                 made = np.array([fingerprint(shingle_hashes(t.as_py(), how.shingle, how.seed + i)) for t in texts], np.uint64)
                 columns.append(pa.array(made.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *how.columns])
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], ["doc_id", *how.columns, *keys])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in how.columns))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keys)
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*how.columns, *keys)))
 
 
 def _variants(classes: DataFrame, how: SimHash) -> DataFrame:
@@ -257,13 +257,39 @@ def near_duplicates(docs: DataFrame, how: SimHash | Jaccard = SimHash(), doc_id:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, how: Jaccard = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one per component: that with the smallest id, null ids last."""
-    prints, rooted, held = set_links.roots(_keyed(docs, doc_id, text), how)
-    first = prints.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first"))
-    kept = spool(first.select("first.k1", "first.k2"))
+def _joined_roots(keyed: DataFrame, by_sets: DataFrame, how: SimHash) -> DataFrame:
+    """``by_sets`` (k1, k2, doc_id, root) with the roots that the links of the fingerprints lead to as well.
+
+    A component of fingerprints links the components of sets that its rows lie in, by way of the smallest of them."""
+    prints = spool(fingerprints(keyed, how, keys=("k1", "k2")).withColumn("fingerprint", _hexed(how)))
+    rooted = _roots(prints, how)
+    named = prints.groupBy("k1", "k2").agg(F.first("fingerprint").alias("fingerprint")).join(
+        rooted.select("fingerprint", F.col("root").alias("print")), "fingerprint").select("k1", "k2", "print")
+    met = spool(by_sets.select("k1", "k2", "root").join(named, ["k1", "k2"]).select("print", "root").distinct())
+    least = met.groupBy("print").agg(F.min("root").alias("least"))
+    led = components(met.join(least, "print").where("root <> least").select(F.col("least").alias("a"), F.col("root").alias("b")))
+    out = spool(by_sets.join(led.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select(
+        "k1", "k2", "doc_id", F.coalesce("further", "root").alias("root")))
+    discard(prints, rooted, met, led, by_sets)
+    return out
+
+
+def deduplicate(docs: DataFrame, how: Jaccard = NEAR_TEXTS, doc_id: str = "doc_id", text: str = "text",
+                prints: SimHash | None = None) -> DataFrame:
+    """The rows of ``docs``, one per component: that with the smallest id, null ids last.
+
+    Texts are linked by their sets (``how``) and, if given, by their fingerprints too (``prints``, op3's method)."""
+    keyed = _keyed(docs, doc_id, text)
+    classes, rooted, held = set_links.roots(keyed, how)
+    # equal rows share a key, and a row of it
+    rows = spool(classes.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc_id"), F.min("root").alias("root")))
     discard(*held)
+    if prints is not None:
+        rows = _joined_roots(keyed, rows, prints)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("first"))
+    kept = spool(first.select("first.k1", "first.k2"))
+    discard(rows)
     # Texts are shuffled once, equal rows combined on the way; the kept keys meet them there.
     whole = docs.select(*_key(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
     return whole.join(kept, ["k1", "k2"], "left_semi").select("row.*")
