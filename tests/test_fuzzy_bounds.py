@@ -1,0 +1,37 @@
+"""The first bound of a block, many queries at once, closes no name that reaches the bar."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from leadquarry.operators import fuzzy
+
+
+def frame(texts, p):
+    words = [sorted(t.split()) for t in texts]
+    return pd.DataFrame({p: range(len(texts)), f"{p}l": [len(t) for t in texts], f"{p}words": words, f"{p}text": [" ".join(w) for w in words]})
+
+
+@pytest.mark.parametrize("as_set", [True, False])
+def test_open_names_hold_all_that_reach_the_bar(as_set):
+    rng = random.Random(8)
+    stock = ["hot", "ring", "plate", "été", "x\U0001F600y", "a" * 70, "tunisia" * 6]
+    text = lambda: " ".join(sorted({rng.choice(stock) + rng.choice(["", "q"]) for _ in range(rng.randint(1, 4))}))
+    names, queries = frame([text() for _ in range(300)], "n").assign(first=range(300)), frame([text() for _ in range(80)], "q")
+    band = fuzzy._Band(names, as_set)
+    marks, beyond = fuzzy._marks(fuzzy._chars([t + " " for t in queries["qtext"]]))
+    run = fuzzy._best_of_block(as_set)
+    every = run(queries.assign(bar=-1.0), names)
+    closed = 0
+    for bar in (30.0, 60.0, 90.0):
+        bars = np.full(len(queries), bar)
+        open_ = band.may_reach(fuzzy._bits(marks), bars, queries["ql"].to_numpy(float), beyond)
+        closed += (~open_).sum()
+        for i, query in enumerate(queries.assign(bar=bar, marks=list(zip(*marks)), beyond=beyond).itertuples(index=False)):
+            everything = band.best(query, np.ones(len(names), bool), as_set, [])
+            assert band.best(query, open_[i].copy(), as_set, []) == everything
+            reached = [k[2] for k in everything]
+            assert set(reached) <= set(every.loc[every["q"] == i, "n"])
+    assert closed > 1000
