@@ -35,3 +35,13 @@ def test_open_names_hold_all_that_reach_the_bar(as_set):
             reached = [k[2] for k in everything]
             assert set(reached) <= set(every.loc[every["q"] == i, "n"])
     assert closed > 1000
+
+
+def test_bars_from_a_block_of_names_decide_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"{rng.choice(['hot', 'old'])} {rng.choice(['ring', 'gear'])} {''.join(rng.choice('abcde') for _ in range(5))}") for i in range(90)]
+    names = fuzzy.distinct_names(spark.createDataFrame(rows, "biz_id long, norm string"))
+    queries = spark.createDataFrame([(q,) for q in ("hot ring", "abcde", "old gear abcd", "zzz", "hot cog bbb")], "norm string")
+    whole = sorted(map(tuple, fuzzy.fuzzy_top2(queries, names, "token_sort_ratio").collect()))
+    monkeypatch.setattr(fuzzy, "NAMES_PER_BLOCK", 16)
+    assert sorted(map(tuple, fuzzy.fuzzy_top2(queries, names, "token_sort_ratio").collect())) == whole and len(whole) == 10
